@@ -118,11 +118,13 @@ def quantile_buckets(df: DataFrame, c: str, q: int = 10, digits: int = 4) -> Dat
     qs = exact_quantiles(df, c, probs)
     edges = qs.agg(F.array_distinct(F.array_sort(F.collect_list("value"))).alias("e")).scalar()
     v = S.missing_as_null(c)
-    m = F.size(edges)
+    e = F.col("_e")
+    m = F.size(e)
     bucketed = (df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-                .select(F.size(F.filter(F.slice(edges, 2, F.greatest(m - 2, F.lit(1))),
-                                        lambda e: e < F.col("_v"))).alias("bucket")))
-    bucketed = bucketed.withColumn("bucket", F.when(m < 3, F.lit(0)).otherwise(F.col("bucket")))
+                .withColumn("_e", edges)
+                .select(F.size(F.filter(F.slice(e, 2, F.greatest(m - 2, F.lit(1))),
+                                        lambda x: x < F.col("_v"))).alias("bucket"), m.alias("_m")))
+    bucketed = bucketed.withColumn("bucket", F.when(F.col("_m") < 3, F.lit(0)).otherwise(F.col("bucket")))
     counts = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     bounds = (qs.agg(F.array_distinct(F.array_sort(F.collect_list("value"))).alias("e"))
               .select(F.posexplode(F.col("e")).alias("bucket", "lo"), F.col("e"))

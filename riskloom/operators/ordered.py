@@ -47,12 +47,12 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     bounds = work.groupBy(*parts).agg(F.percentile_approx("_okey", probs, accuracy).alias("_bounds"))
     if parts:
         work = work.join(F.broadcast(bounds), parts, "inner")
-        bcol = F.col("_bounds")
     else:
-        bcol = bounds.scalar()
-    work = work.withColumn("_rng", F.size(F.filter(bcol, lambda b: b < F.col("_okey"))))
-    if parts:
-        work = work.drop("_bounds")
+        # Materialise the subquery as a column first: subqueries may not sit
+        # inside a higher-order function.
+        work = work.withColumn("_bounds", bounds.scalar())
+    work = work.withColumn("_rng", F.size(F.filter(F.col("_bounds"), lambda b: b < F.col("_okey"))))
+    work = work.drop("_bounds")
 
     w = (Window.partitionBy(*parts, "_rng").orderBy("_okey")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -91,9 +91,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     if parts:
         n_tab = counts.groupBy(*parts).agg(F.sum("_cnt").alias("_n"))
         ranked = ranked.join(n_tab, parts, "inner")
-        n = F.col("_n")
     else:
-        n = counts.agg(F.sum("_cnt")).scalar()
+        ranked = ranked.withColumn("_n", counts.agg(F.sum("_cnt")).scalar())
+    n = F.col("_n")
     targets = F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"),
                  ((n - F.lit(1)).cast("double") * F.lit(float(p))).alias("h"))

@@ -123,7 +123,7 @@ def _hist_sql(col: str) -> str:
     inner = ", ".join(repr(e) for e in edges[1:-1])
     spine = " UNION ALL ".join(f"SELECT {i} AS bin, {round(edges[i], 2)!r} AS bin_start" for i in range(len(edges) - 1))
     return f"""
-, b AS (SELECT len(list_filter([{inner}], e -> e <= {col})) AS bin FROM admissions
+, b AS (SELECT len(list_filter([{inner}], lambda e: e <= {col})) AS bin FROM admissions
         WHERE {col} >= {edges[0]!r} AND {col} <= {edges[-1]!r}),
 c AS (SELECT bin, count(*) AS count FROM b GROUP BY bin),
 spine AS ({spine})
@@ -141,7 +141,7 @@ _DECILES = ", ".join(repr(i / 10) for i in range(11))
 
 @register("ag8_quantile_buckets", with_admissions(f"""
 , e AS (SELECT list_sort(list_distinct(quantile_cont(score, [{_DECILES}]))) AS e FROM admissions),
-b AS (SELECT len(list_filter(e.e[2:len(e.e) - 1], x -> x < a.score)) AS bucket
+b AS (SELECT len(list_filter(e.e[2:len(e.e) - 1], lambda x: x < a.score)) AS bucket
       FROM admissions a, e WHERE a.score IS NOT NULL),
 c AS (SELECT bucket, count(*) AS n FROM b GROUP BY bucket),
 idx AS (SELECT unnest(generate_series(1, len(e) - 1)) AS i, e FROM e)
