@@ -61,7 +61,7 @@ def threshold_flags(spec_items: Iterable[tuple[str, str, str, float]]) -> list[C
 
 
 # SC-6 -----------------------------------------------------------------------
-def clip(c, lo: float | None, hi: float | None) -> Column:
+def clip(c, lo, hi) -> Column:
     """Clamp into [lo, hi]; NULL and NaN pass through (as numpy does).
 
     least/greatest skip NULL and rank NaN highest, so unguarded they would
@@ -70,9 +70,9 @@ def clip(c, lo: float | None, hi: float | None) -> Column:
     c = col(c)
     clamped = c
     if hi is not None:
-        clamped = F.least(clamped, F.lit(hi))
+        clamped = F.least(clamped, hi if isinstance(hi, Column) else F.lit(hi))
     if lo is not None:
-        clamped = F.greatest(clamped, F.lit(lo))
+        clamped = F.greatest(clamped, lo if isinstance(lo, Column) else F.lit(lo))
     return F.when(c.isNull() | F.isnan(c), c).otherwise(clamped)
 
 
@@ -151,13 +151,8 @@ def scorecard(terms: Sequence[tuple], intercept: float = spec.SCORECARD_INTERCEP
 
 # SC-12 ----------------------------------------------------------------------
 def coerce_numeric(c) -> Column:
-    """Numeric-looking text -> double; empty / non-numeric -> NULL."""
-    return F.expr(f"try_cast(nullif(trim({_sql_name(c)}), '') AS double)") if isinstance(c, str) \
-        else F.try_to_number(c, F.lit("999")).cast("double")
-
-
-def _sql_name(c: str) -> str:
-    return "`" + c.replace("`", "``") + "`"
+    """Numeric-looking text -> double; empty / non-numeric -> NULL (raw kept by caller)."""
+    return F.nullif(F.trim(col(c).cast("string")), F.lit("")).try_cast("double")
 
 
 # SC-13 ----------------------------------------------------------------------

@@ -77,8 +77,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
             print("   spark cols", sorted(scols), "\n   duck cols ", sorted(dcols))
         else:
             a, b = rows_of(scols, srows), rows_of(dcols, drows)
-            diff_a = [r for r in a if r not in set(b)][:3]
-            diff_b = [r for r in b if r not in set(a)][:3]
+            sa, sb = set(a), set(b)
+            diff_a = [r for r in a if r not in sb][:3]
+            diff_b = [r for r in b if r not in sa][:3]
             print("   spark-only", diff_a, "\n   duck-only ", diff_b)
     return ok_v
 
