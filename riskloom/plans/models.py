@@ -21,6 +21,7 @@ from riskloom.streaming import monitor as M
 QUERIES: dict = {}
 SQL: dict = {}
 
+GLOBAL_ROWS = 5000
 MAX_ITER = 10          # trees per model in the registered queries (the reference used 600)
 CV_ITER = 5
 
@@ -119,11 +120,39 @@ def q_explain(spark, d):
 
 @register("ml7_global_explain")
 def q_global_explain(spark, d):
+    """SL-5 -> ML-6 -> AG-12: importance on a seeded 5,000-row sample."""
+    from riskloom.operators.ordering import sample_n
+    feats, ma, _ = fitted(spark, d)
+    sample = sample_n(feats, GLOBAL_ROWS, 42, "admission_id")
+    ex = TS.explain(ma, sample, "features", ["admission_id"], ADM_SPEC.names)
+    return TS.global_importance(ex, ADM_SPEC.names)
+
+
+@register("ag12_global_importance")
+def q_global_importance(spark, d):
+    """AG-12 over every row: explanations are partitioned, so no sample is needed."""
     feats, ma, _ = fitted(spark, d)
     ex = TS.explain(ma, feats, "features", ["admission_id"], ADM_SPEC.names)
     return TS.global_importance(ex, ADM_SPEC.names)
 
 
+@register("ml3_predict_proba")
+def q_predict_proba(spark, d):
+    feats, ma, mb = fitted(spark, d)
+    a = G.predict_proba(ma, feats, "p_a")
+    b = G.predict_proba(mb, a, "p_b")
+    return b.select("admission_id", F.round("p_a", 6).alias("p_a"), F.round("p_b", 6).alias("p_b"))
+
+
+@register("pr6_attach_scores")
+def q_attach_scores(spark, d):
+    """Scores and tier appended to the original admission rows."""
+    feats, ma, mb = fitted(spark, d)
+    scores = G.ensemble(ma, mb, feats).select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier")
+    adm = admissions(spark, d).drop("risk_tier")
+    return adm.join(scores, "admission_id", "left")
+
+
 def score_table(spark: SparkSession, payload: DataFrame, base: DataFrame, ma, mb, top_n: int = 10) -> DataFrame:
     """ML-8: overlay the payload on a base row, derive features with the same
     spec as training (no imputation; absent columns take the base row),

@@ -114,3 +114,27 @@ def q_sequence(spark, d):
     seq = M.sequence(_stream(spark, d), "user_id", "ts", "event_id")
     M.run_to_completion(M.vitals_sink(seq, out, ck))
     return spark.read.parquet(out)
+
+
+@register("io8_vitals_source", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_vitals_source(spark, d):
+    """Streaming source read to completion into a memory-free file sink."""
+    out, ck = _paths(spark, "source")
+    q = M.vitals_sink(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz")), out, ck)
+    M.run_to_completion(q)
+    return spark.read.parquet(out)
+
+
+@register("io9_vitals_sink", f"""
+SELECT user_id AS patient_id, event_type AS channel, {_clip_sql()} AS reading, ts AS recorded_at FROM events""")
+def q_vitals_sink(spark, d):
+    """Declared vitals table layout: (patient, channel, reading, recorded_at)."""
+    out, ck = _paths(spark, "vitals")
+    s = _stream(spark, d)
+    from riskloom.functions import scalar as S
+    lo, hi = S.range_lookup("event_type", EVENT_CLIP)
+    rows = s.select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("channel"),
+                    F.round(S.clip("value", lo, hi), 1).alias("reading"),
+                    F.col("ts").cast("timestamp_ntz").alias("recorded_at"))
+    M.run_to_completion(M.vitals_sink(rows, out, ck))
+    return spark.read.parquet(out)

@@ -512,3 +512,23 @@ def q_orphans(spark, d):
     o = table(spark, d, "orders")
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return R.orphans(o, li, "o_orderkey")
+
+
+@register("jo7_enrich_stream", """
+SELECT e.event_id, e.user_id, c.c_name, c.c_acctbal, e.event_type, e.value
+FROM events e JOIN customer c ON e.user_id = c.c_custkey""")
+def q_enrich_stream_batch(spark, d):
+    """Batch twin of the stream-static enrichment (the stream form is st1)."""
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_acctbal")
+    return ev.join(R.bounded_broadcast(c), "user_id", "inner")
+
+
+@register("jo8_reject_unknown", """
+SELECT * FROM events e WHERE NOT EXISTS (
+  SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_mktsegment <> 'MACHINERY')""")
+def q_reject_unknown_batch(spark, d):
+    """Batch twin of the dead-letter split (the stream form is st5)."""
+    known = table(spark, d, "customer").where(F.col("c_mktsegment") != "MACHINERY") \
+        .select(F.col("c_custkey").alias("user_id"))
+    return R.orphans(table(spark, d, "events"), known, "user_id")
