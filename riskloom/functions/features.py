@@ -74,18 +74,20 @@ def derived_column(d: Derived, eps: float) -> Column:
 def impute_median(df: DataFrame, cols: Sequence[str], medians: DataFrame | None = None) -> DataFrame:
     """Fill NULL/NaN with the column median.
 
-    ``medians`` is a one-row table (AG-11 output); each value is attached as a
-    scalar subquery, so no cross join and no driver round trip.
+    ``medians`` is a one-row table (AG-11 output).  Its single row is fetched
+    once (bounded: one value per column, as MLlib's Imputer does) and applied
+    as literals, so the main plan does not re-run the median job per column.
     """
     from riskloom.operators.aggregates import medians as _medians
     m = medians if medians is not None else _medians(df, cols)
+    row = m.select(*[F.col(c).cast("double").alias(c) for c in cols]).first()
     cset = set(cols)
-    # One struct-valued subquery for all columns; identical references are reused.
-    mrow = m.select(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias("m")).scalar()
     out = []
     for c in df.columns:
-        if c in cset:
-            out.append(F.coalesce(S.missing_as_null(c), mrow.getField(c)).alias(c))
+        if c in cset and row[c] is not None:
+            out.append(F.coalesce(S.missing_as_null(c), F.lit(float(row[c]))).alias(c))
+        elif c in cset:
+            out.append(S.missing_as_null(c).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -115,5 +117,9 @@ def derive_features(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = (),
     wide = base.select(*keep, *numeric, *onehot, *derived)
     names = spec.names
     if impute:
-        wide = impute_median(wide, names, medians)
+        # One-hot indicators and threshold flags are never NULL by
+        # construction, so only pass-through and arithmetic columns can need
+        # a median; skipping the rest gives the same table for less work.
+        nullable = list(spec.numeric) + [d.name for d in spec.derived if d.kind not in ("gt", "lt")]
+        wide = impute_median(wide, nullable, medians)
     return wide.select(*keep, *[F.col(n).cast(dtype).alias(n) for n in names])

@@ -79,30 +79,34 @@ def ensemble(model_a, model_b, df: DataFrame, features_col: str = FEATURES, clos
 
 
 def cross_validate(df: DataFrame, label: str, key: str, fit: Callable, k: int = 5, seed: int = 42,
-                   features_col: str = FEATURES, name: str = "model") -> DataFrame:
-    """ML-4: stratified k-fold AUC.  The driver only orchestrates k fits; data
-    stays distributed, and the fold table is persisted once for all fits."""
+                   features_col: str = FEATURES, name: str = "model", parallelism: int | None = None) -> DataFrame:
+    """ML-4: stratified k-fold AUC.
+
+    The fold table is persisted once; the k fits are submitted from a driver
+    thread pool (as MLlib's CrossValidator does with ``parallelism``) so their
+    jobs share the executors.  Only one number per fold reaches the driver.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     folds = kfold(df, label, key, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(i: int):
+        model = fit(folds.where(F.col("fold") != i), label)
+        held = predict_proba(model, folds.where(F.col("fold") == i), "_p", features_col)
+        return (name, i, float(AG.auc(held, label, "_p", digits=None).first()["auc"]))
+
     try:
-        parts = []
-        for i in range(k):
-            model = fit(folds.where(F.col("fold") != i), label)
-            held = predict_proba(model, folds.where(F.col("fold") == i), "_p", features_col)
-            # Collect per fold: one number, bounded.
-            auc = AG.auc(held, label, "_p", digits=None).first()["auc"]
-            parts.append((name, i, float(auc)))
+        with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
+            parts = list(pool.map(one, range(k)))
     finally:
         folds.unpersist()
-    spark = df.sparkSession
-    return spark.createDataFrame(parts, "model string, fold int, auc double")
+    return df.sparkSession.createDataFrame(parts, "model string, fold int, auc double")
 
 
 def train_eval(scored: DataFrame, label: str, prob: str = "_blend") -> DataFrame:
     """ML-10: AUC and AP of the blend on the given rows (in-sample unless the
-    scores came from held-out folds)."""
-    a = AG.auc(scored, label, prob)
-    p = AG.average_precision(scored, label, prob)
-    return a.select("auc", p.select("average_precision").scalar().alias("average_precision"))
+    scores came from held-out folds); one set of running totals for both."""
+    return AG.auc_ap(scored, label, prob)
 
 
 def out_of_fold_scores(df: DataFrame, label: str, key: str, fit_a: Callable, fit_b: Callable, k: int = 5,

@@ -230,6 +230,19 @@ def average_precision(df: DataFrame, label: str, score: str, digits: int | None
     return run.groupBy(*g).agg(_maybe_round(value, digits).alias("average_precision"))
 
 
+def auc_ap(df: DataFrame, label: str, score: str, digits: int | None = 6,
+           group_cols: Sequence[str] = ()) -> DataFrame:
+    """AUC and average precision from one pass of running totals."""
+    g = list(group_cols)
+    sc = score_counts(df, label, score, g)
+    run = running_totals(sc, "_s", ["tp", "fp"], partition_cols=g, descending=True)
+    above = F.col("cum_tp") - F.col("tp")
+    auc_v = F.sum(F.col("fp") * (above + F.col("tp") / F.lit(2.0))) / (F.sum("tp") * F.sum("fp")).cast("double")
+    ap_v = F.sum(F.col("tp") * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))) / F.sum("tp")
+    return run.groupBy(*g).agg(_maybe_round(auc_v, digits).alias("auc"),
+                               _maybe_round(ap_v, digits).alias("average_precision"))
+
+
 # AG-16 ----------------------------------------------------------------------
 def profile(df: DataFrame, groups: dict[str, Sequence[str]], label: str | None = None) -> DataFrame:
     """Rows, columns, columns per named group, positives of the label (one row)."""

@@ -151,14 +151,16 @@ def with_defaults(payload: DataFrame, base: DataFrame, cols: Sequence[str]) -> D
     """JO-4 / SC-11: overlay payload on one base row.
 
     Payload values win; a NULL or absent payload column takes the base row's
-    value.  The base row is a one-row DataFrame attached by scalar subqueries
-    (no cross join, nothing through the driver).
+    value.  The base row is one row by construction (``limit(1)``), fetched
+    once and applied as typed literals: no cross join, no per-column job.
     """
-    base1 = base.limit(1)
+    types = {f.name: f.dataType for f in base.schema.fields}
+    row = base.select(*cols).limit(1).collect()
+    values = row[0].asDict() if row else {c: None for c in cols}
     present = set(payload.columns)
     out = []
     for c in cols:
-        b = base1.select(F.col(c)).scalar()
+        b = F.lit(values[c]).cast(types[c])
         out.append((F.coalesce(F.col(c), b) if c in present else b).alias(c))
     extra = [c for c in payload.columns if c not in set(cols)]
     return payload.select(*extra, *out)

@@ -73,9 +73,12 @@ def fitted(spark: SparkSession, d: str, max_iter: int = MAX_ITER):
     """(features, model A, model B), fitted once per (table dir, trees)."""
     key = (d, max_iter)
     if key not in _CACHE:
-        feats = admission_features(spark, d)
         from riskloom.session import cut_lineage
-        feats = cut_lineage(feats)   # reliable checkpoint: both fits and all scorings read it
+        # Spread the training table over every core before the reliable
+        # checkpoint: AQE may have coalesced the last shuffle into a few
+        # partitions, and MLlib's tree fits run one task per partition.
+        par = spark.sparkContext.defaultParallelism
+        feats = cut_lineage(admission_features(spark, d).repartition(par))
         ma = G.fit_gbt_a(feats, "label", max_iter)
         mb = G.fit_gbt_b(feats, "label", max_iter)
         _CACHE[key] = (feats, ma, mb)
