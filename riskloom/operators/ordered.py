@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 DEFAULT_RANGES = 64
 
 
@@ -31,11 +33,20 @@ def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
-                   n_ranges: int | None = None, accuracy: int = 10000) -> DataFrame:
+                   n_ranges: int | None = None, accuracy: int = 10000,
+                   materialize: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of c over rows with key <= this key (>= if descending),
     ties included, within ``partition_cols``.  ``order_col`` must be numeric and
     should be distinct per partition group (aggregate first: one row per key).
+
+    ``materialize`` writes the input once to the shared checkpoint folder;
+    worth it when the input is expensive to recompute, because the range
+    bounds are a second pass over it (the window and the range totals share
+    one exchange).  ``grand_<c>`` (the group total) is added for free from
+    the range table.
     """
+    if materialize:
+        df = cut_lineage(df)
     nr = _n_ranges(df, n_ranges)
     key = F.col(order_col).cast("double")
     okey = -key if descending else key
@@ -46,7 +57,9 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     # Range boundaries per partition group: bounded (len(probs) per group).
     bounds = work.groupBy(*parts).agg(F.percentile_approx("_okey", probs, accuracy).alias("_bounds"))
     if parts:
-        work = work.join(F.broadcast(bounds), parts, "inner")
+        # One row per group: bounded only by the number of groups, so no
+        # broadcast hint; AQE broadcasts it at runtime when it is small.
+        work = work.join(bounds, parts, "inner")
     else:
         # Materialise the subquery as a column first: subqueries may not sit
         # inside a higher-order function.
@@ -63,10 +76,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     totals = work.groupBy(*parts, "_rng").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
     wo = (Window.partitionBy(*parts).orderBy("_rng")
           .rowsBetween(Window.unboundedPreceding, -1))
+    wg = Window.partitionBy(*parts)
     offsets = totals.select(*parts, "_rng", *[
-        F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
-    # offsets has (#groups x n_ranges) rows: bounded by construction.
-    out = work.join(F.broadcast(offsets), [*parts, "_rng"], "inner")
+        F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}") for c in sum_cols], *[
+        F.sum(f"_tot_{c}").over(wg).alias(f"grand_{c}") for c in sum_cols])
+    # offsets has (#groups x n_ranges) rows.  Without groups it is at most
+    # n_ranges rows and is broadcast; with groups it joins on (groups, range),
+    # the partitioning the window already gave the big side.
+    out = work.join(offsets if parts else F.broadcast(offsets), [*parts, "_rng"], "inner")
     for c in sum_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.col(f"_in_{c}"))
     drop = ["_okey", "_rng"] + [f"_in_{c}" for c in sum_cols] + [f"_off_{c}" for c in sum_cols]
@@ -88,12 +105,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy(*parts, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
     ranked = running_totals(counts, "_v", ["_cnt"], partition_cols=parts, n_ranges=n_ranges)
-    if parts:
-        n_tab = counts.groupBy(*parts).agg(F.sum("_cnt").alias("_n"))
-        ranked = ranked.join(n_tab, parts, "inner")
-    else:
-        ranked = ranked.withColumn("_n", counts.agg(F.sum("_cnt")).scalar())
-    n = F.col("_n")
+    n = F.col("grand__cnt")           # rows per group, from the range totals
     targets = F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"),
                  ((n - F.lit(1)).cast("double") * F.lit(float(p))).alias("h"))

@@ -63,13 +63,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint directory.
-
-    Survives executor loss (unlike a local checkpoint, whose blocks die with
-    the executor); used between iterations of multi-pass model jobs.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and return a DataFrame that reads it back.
+
+    The lineage is cut (readers do not recompute the input) and the table
+    survives executor loss, unlike a local checkpoint.  A written table is
+    used instead of ``Dataset.checkpoint()`` because the latter computes the
+    plan twice (one job to count, one to write the RDD) and stores rows in
+    serialized-object form rather than columnar.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"lineage-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
