@@ -78,26 +78,31 @@ def ensemble(model_a, model_b, df: DataFrame, features_col: str = FEATURES, clos
             .drop("_pa", "_pb"))
 
 
-def cross_validate(df: DataFrame, label: str, key: str, fit: Callable, k: int = 5, seed: int = 42,
-                   features_col: str = FEATURES, name: str = "model", parallelism: int | None = None) -> DataFrame:
-    """ML-4: stratified k-fold AUC.
-
-    The fold table is persisted once; the k fits are submitted from a driver
-    thread pool (as MLlib's CrossValidator does with ``parallelism``) so their
-    jobs share the executors.  Only one number per fold reaches the driver.
+def cross_validate(df: DataFrame, label: str, key: str, fits: dict[str, Callable] | Callable, k: int = 5,
+                   seed: int = 42, features_col: str = FEATURES, name: str = "model",
+                   parallelism: int | None = None) -> DataFrame:
+    """ML-4: stratified k-fold AUC for one or several models.
+
+    The fold table is persisted once; every (model, fold) fit is submitted
+    from one driver thread pool (as MLlib's CrossValidator does with
+    ``parallelism``), so the jobs share the executors.  Only one number per
+    fit reaches the driver.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    fits = fits if isinstance(fits, dict) else {name: fits}
     folds = kfold(df, label, key, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(i: int):
+    def one(task):
+        model_name, fit, i = task
         model = fit(folds.where(F.col("fold") != i), label)
         held = predict_proba(model, folds.where(F.col("fold") == i), "_p", features_col)
-        return (name, i, float(AG.auc(held, label, "_p", digits=None).first()["auc"]))
+        return (model_name, i, float(AG.auc(held, label, "_p", digits=None).first()["auc"]))
 
+    tasks = [(m, f, i) for m, f in fits.items() for i in range(k)]
     try:
-        with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
-            parts = list(pool.map(one, range(k)))
+        with ThreadPoolExecutor(max_workers=parallelism or len(tasks)) as pool:
+            parts = list(pool.map(one, tasks))
     finally:
         folds.unpersist()
     return df.sparkSession.createDataFrame(parts, "model string, fold int, auc double")
