@@ -16,7 +16,7 @@ def test_history_over_many_batches_equals_batch_last_n(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
     ev.repartition(6, F.col("event_id") % 6).write.parquet(f"{base}/in")
     stream = M.vitals_source(spark, f"{base}/in", EVENTS_SCHEMA, max_files_per_trigger=1)
-    h = M.history(stream, "user_id", "ts", "event_id", "value", n=20)
+    h = M.history(stream, "user_id", "ts", "event_id", "value", n=20, idle_timeout="1 hour")
     M.run_to_completion(M.batch_sink(h, f"{base}/out", f"{base}/ck", "update"))
     got = M.explode_history(M.latest_snapshot(spark.read.parquet(f"{base}/out"), "user_id"), "user_id")
     exp = WI.last_n(ev.select("user_id", "ts", "event_id", "value"), "user_id", "ts", 20, tiebreak="event_id")
