@@ -159,21 +159,19 @@ def coerce_numeric(c) -> Column:
 def top_abs(arr, n: int, name_field: str = "feature", value_field: str = "value",
             digits: int = 4) -> Column:
     """Sort an array<struct<name, value>> by |value| desc (name asc on ties),
-    keep n, round, and label the direction."""
-    sorted_arr = F.array_sort(
-        col(arr),
-        lambda x, y: F.when(F.abs(x[value_field]) > F.abs(y[value_field]), F.lit(-1))
-        .when(F.abs(x[value_field]) < F.abs(y[value_field]), F.lit(1))
-        .when(x[name_field] < y[name_field], F.lit(-1))
-        .when(x[name_field] > y[name_field], F.lit(1))
-        .otherwise(F.lit(0)),
-    )
+    keep n, round, and label the direction.
+
+    The sort key is a struct (-|value|, name) under the natural ordering, so
+    no comparator lambda is evaluated per pair.
+    """
+    keyed = F.transform(col(arr), lambda e: F.struct((-F.abs(e[value_field])).alias("k"),
+                                                     e[name_field].alias("n"), e[value_field].alias("v")))
     return F.transform(
-        F.slice(sorted_arr, 1, n),
+        F.slice(F.array_sort(keyed), 1, n),
         lambda e: F.struct(
-            e[name_field].alias(name_field),
-            F.round(e[value_field], digits).alias("shap_value"),
-            F.when(e[value_field] > 0, F.lit(spec.DIRECTION_UP)).otherwise(F.lit(spec.DIRECTION_DOWN)).alias("direction"),
+            e["n"].alias(name_field),
+            F.round(e["v"], digits).alias("shap_value"),
+            F.when(e["v"] > 0, F.lit(spec.DIRECTION_UP)).otherwise(F.lit(spec.DIRECTION_DOWN)).alias("direction"),
         ),
     )
 

@@ -69,6 +69,12 @@ def admission_features(spark: SparkSession, d: str, impute: bool = True) -> Data
 _CACHE: dict = {}
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin over all cores before CPU-heavy per-row Python (SHAP):
+    small inputs come back from Parquet packed into a few partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fitted(spark: SparkSession, d: str, max_iter: int = MAX_ITER):
     """(features, model A, model B), fitted once per (table dir, trees)."""
     key = (d, max_iter)
@@ -117,7 +123,7 @@ def q_ensemble(spark, d):
 @register("ml6_explain")
 def q_explain(spark, d):
     feats, ma, _ = fitted(spark, d)
-    ex = TS.explain(ma, feats, "features", ["admission_id"], ADM_SPEC.names, top_n=10)
+    ex = TS.explain(ma, _spread(feats), "features", ["admission_id"], ADM_SPEC.names, top_n=10)
     return ex.select("admission_id", "base_value", F.posexplode("explanation").alias("pos", "e")) \
         .select("admission_id", "base_value", "pos", "e.feature", "e.shap_value", "e.direction")
 
@@ -136,7 +142,7 @@ def q_global_explain(spark, d):
 def q_global_importance(spark, d):
     """AG-12 over every row: explanations are partitioned, so no sample is needed."""
     feats, ma, _ = fitted(spark, d)
-    ex = TS.explain(ma, feats, "features", ["admission_id"], ADM_SPEC.names)
+    ex = TS.explain(ma, _spread(feats), "features", ["admission_id"], ADM_SPEC.names)
     return TS.global_importance(ex, ADM_SPEC.names)
 
 
@@ -165,10 +171,15 @@ def score_table(spark: SparkSession, payload: DataFrame, base: DataFrame, ma, mb
     filled = R.with_defaults(payload, base, cols)
     f = FE.derive_features(filled, ADM_SPEC, keep=["admission_id"], impute=False)
     arr = R.assemble_array(f, ADM_SPEC.names, keep=["admission_id"])
+    # The explanation is CPU-heavy Python per row: spread the payload over all
+    # cores (AQE may have coalesced a small payload into one partition).
+    arr = _spread(arr)
     scored = G.ensemble(ma, mb, arr, closed="left")
-    ex = TS.explain(ma, arr, "features", ["admission_id"], ADM_SPEC.names, top_n=top_n)
-    return scored.select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier") \
-        .join(ex.select("admission_id", "explanation"), "admission_id", "inner")
+    # Explain the scored rows themselves: score columns ride through the
+    # partition function, so there is one pipeline and no self-join.
+    keep = ["admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
+    ex = TS.explain(ma, scored, "features", keep, ADM_SPEC.names, top_n=top_n)
+    return ex.select(*keep, "explanation")
 
 
 @register("ml8_score_table")
@@ -188,9 +199,9 @@ def q_detail(spark, d):
     feats, ma, mb = fitted(spark, d)
     one = R.lookup(feats, "patient_id", 100, order_by=["admission_id"])
     scored = G.ensemble(ma, mb, one)
-    ex = TS.explain(ma, one, "features", ["admission_id"], ADM_SPEC.names, top_n=12)
-    return scored.select("admission_id", "patient_id", "label", "prob_a", "prob_b", "ensemble_prob", "risk_tier") \
-        .join(ex.select("admission_id", "explanation"), "admission_id")
+    keep = ["admission_id", "patient_id", "label", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
+    ex = TS.explain(ma, scored, "features", keep, ADM_SPEC.names, top_n=12)
+    return ex.select(*keep, "explanation")
 
 
 @register("ml10_train_eval")
