@@ -166,6 +166,23 @@ def with_defaults(payload: DataFrame, base: DataFrame, cols: Sequence[str]) -> D
     return payload.select(*extra, *out)
 
 
+def overlay(payload: DataFrame, table: DataFrame, cols: Sequence[str], mode: str = "row",
+            order_by: Sequence[str] | None = None) -> DataFrame:
+    """SC-11: fill absent/NULL payload columns from an explicit defaults row.
+
+    mode='row': the first row of ``table`` (by ``order_by``), as the serving
+    code does; mode='median': the interpolated median of each (numeric)
+    column of ``table``, as its docstring promises.
+    """
+    if mode == "row":
+        base = table.orderBy(*order_by) if order_by else table
+        return with_defaults(payload, base.limit(1), cols)
+    if mode == "median":
+        from riskloom.operators.aggregates import medians
+        return with_defaults(payload, medians(table, cols), cols)
+    raise ValueError("mode must be 'row' or 'median'")
+
+
 def select_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """JO-5: rows whose key appears in ``keys`` (left semi join)."""
     return df.join(keys, on, "left_semi")

@@ -402,3 +402,15 @@ def q_clip_stream_bounds(spark, d):
     ev = table(spark, d, "events").select("event_id", "event_type", "value")
     lo, hi = S.range_lookup("event_type", EVENT_CLIP)
     return ev.withColumn("clipped", S.clip("value", lo, hi))
+
+
+@register("sc11_overlay_median", """
+WITH payload AS (SELECT p_partkey, CASE WHEN p_size < 20 THEN p_retailprice END AS p_retailprice,
+                        CASE WHEN p_retailprice > 1500 THEN p_size END AS p_size FROM part)
+SELECT p_partkey, coalesce(p_retailprice, (SELECT median(p_retailprice) FROM part)) AS p_retailprice,
+       coalesce(CAST(p_size AS DOUBLE), (SELECT median(p_size) FROM part)) AS p_size FROM payload""")
+def q_overlay_median(spark, d):
+    p = table(spark, d, "part")
+    payload = p.select("p_partkey", F.when(F.col("p_size") < 20, F.col("p_retailprice")).alias("p_retailprice"),
+                       F.when(F.col("p_retailprice") > 1500, F.col("p_size")).cast("double").alias("p_size"))
+    return R.overlay(payload, p, ["p_retailprice", "p_size"], mode="median")
