@@ -118,19 +118,24 @@ def out_of_fold_scores(df: DataFrame, label: str, key: str, fit_a: Callable, fit
                        seed: int = 42, features_col: str = FEATURES) -> DataFrame:
     """Blend scores where each row is scored by models that never saw it.
 
-    The k scored folds are checkpointed to the shared checkpoint directory,
-    which cuts the lineage of k model applications and lets the fold table
-    be released."""
+    The k fold pairs are fitted from a driver thread pool; the scored folds
+    are written once to the shared checkpoint folder, which cuts the lineage
+    of k model applications and lets the fold table be released."""
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
     from riskloom.session import cut_lineage
     folds = kfold(df, label, key, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(i: int) -> DataFrame:
+        train = folds.where(F.col("fold") != i)
+        ma, mb = fit_a(train, label), fit_b(train, label)
+        return ensemble(ma, mb, folds.where(F.col("fold") == i), features_col).select(key, label, "_blend")
+
     try:
-        outs = None
-        for i in range(k):
-            train = folds.where(F.col("fold") != i)
-            ma, mb = fit_a(train, label), fit_b(train, label)
-            s = ensemble(ma, mb, folds.where(F.col("fold") == i), features_col).select(key, label, "_blend")
-            outs = s if outs is None else outs.unionByName(s)
-        return cut_lineage(outs)
+        with ThreadPoolExecutor(max_workers=k) as pool:
+            parts = list(pool.map(one, range(k)))
+        return cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     finally:
         folds.unpersist()
 

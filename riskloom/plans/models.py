@@ -210,6 +210,17 @@ def q_train_eval(spark, d):
     return G.train_eval(G.ensemble(ma, mb, feats), "label")
 
 
+@register("ml10_train_eval_out_of_fold")
+def q_train_eval_oof(spark, d):
+    """AUC / AP of the blend scored out of fold (each row by models that did
+    not see it), next to the in-sample figures of ml10_train_eval."""
+    feats, _, _ = fitted(spark, d)
+    oof = G.out_of_fold_scores(feats, "label", "admission_id",
+                               lambda df, lab: G.fit_gbt_a(df, lab, CV_ITER),
+                               lambda df, lab: G.fit_gbt_b(df, lab, CV_ITER), k=5)
+    return G.train_eval(oof, "label")
+
+
 @register("io6_run_metrics")
 def q_run_metrics(spark, d):
     feats, ma, mb = fitted(spark, d)
