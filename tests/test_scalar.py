@@ -98,3 +98,13 @@ def test_impute_after_derivation(spark):
     out = FE.impute_median(df.withColumn("r", S.safe_ratio("a", "b", 0.0)), ["a", "b", "r"]).collect()
     # medians: a of {1,3} = 2, b of {2,4,8} = 4, r of {0.5} = 0.5
     assert [tuple(r) for r in out] == [(1.0, 2.0, 0.5), (2.0, 4.0, 0.5), (3.0, 4.0, 0.5), (2.0, 8.0, 0.5)]
+
+
+def test_overlay_row_and_median_modes(spark):
+    from riskloom.operators import relational as R
+    table = spark.createDataFrame([(1, 10.0, "a"), (2, 20.0, "b"), (3, 60.0, "c")], "id int, x double, s string")
+    payload = spark.createDataFrame([(7, None), (8, 5.0)], "id int, x double")
+    by_row = {r["id"]: (r["x"], r["s"]) for r in R.overlay(payload, table, ["x", "s"], "row", ["id"]).collect()}
+    assert by_row == {7: (10.0, "a"), 8: (5.0, "a")}      # absent column s comes from the base row
+    by_med = {r["id"]: r["x"] for r in R.overlay(payload, table, ["x"], "median").collect()}
+    assert by_med == {7: 20.0, 8: 5.0}
