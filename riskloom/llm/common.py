@@ -53,10 +53,8 @@ class Scratch:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over at least one partition per core, for heavy steps on
-    an input of few files; inputs with enough partitions are left as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    """The same rows, at most some ten thousand, over as many tasks as there are cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def group_key(c: str | Column) -> Column:
