@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op2_sharding", "op9_mixing")
+MODULES = ("op1_line_dedup", "op2_sharding", "op3_quality", "op4_embedding_dedup", "op5_minhash_dedup", "op7_decontamination",
+           "op9_mixing", "op10_toxicity")
 
 
 def queries() -> dict:
