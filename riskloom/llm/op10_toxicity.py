@@ -9,15 +9,15 @@ absolute and per hundred words, gives the score by a logistic fit.
 
 The lexicon is learned on a bounded sample of labelled rows: word starts and
 whole words whose document counts differ between the classes far beyond chance
-(likelihood ratio), weighted by log odds.  Exception phrases are words that hold
+(likelihood ratio), weighted by the log ratio of their rates among all words.  Exception phrases are words that hold
 an entry and yet are usual in clean documents.  A caller may add entries and
 phrases.  Counting runs in Spark; only the lexicon (``MAX_ENTRIES``) and the
 calibration sample's three numbers a row come to the driver.
 
 Defined results: null or empty text has no hits and gets the score of a text
 without hits; labels that are null, or of documents that do not exist, are not
-learned from; without labelled rows of both classes every score is 0; a doc_id
-labelled twice counts as often; an empty table gives an empty result.
+learned from; equal texts of one label count once; without labelled rows of both
+classes every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ MAX_LABELLED = 20_000
 MAX_ENTRIES = 4_096
 MIN_PREFIX, MAX_PREFIX = 3, 8
 MIN_HOLDERS = 3
-MIN_PRECISION = 0.8
+#: Share of an entry's occurrences that must be in toxic documents.
+MIN_PRECISION = 0.5
 #: About how many word starts stand and fall together, for the chance level.
 NESTED = 5
 THRESHOLD = 0.5
@@ -53,7 +54,9 @@ HOMOGLYPHS = {
     "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ł": "l", "ø": "o", "đ": "d",
 }
 # Digits and signs that stand for letters.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+# Signs that stand for letters where a letter follows.
+SIGNS = {"@": "a", "$": "s"}
 # Marks that do not part a word.
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -65,6 +68,8 @@ class _Folding(dict):
         ch = chr(code)
         if ch in INVISIBLE:
             out = ""
+        elif ch in SIGNS:
+            out = ch
         elif ch in SUBSTITUTES:
             out = SUBSTITUTES[ch]
         else:
@@ -79,8 +84,15 @@ class _Folding(dict):
 _FOLDING = _Folding()
 
 
+_LOOSE_SIGN = re.compile("[" + "".join(SIGNS) + "]+(?![a-z@$])")
+
+
 def fold(text: str | None) -> str:
-    return (text or "").translate(_FOLDING)
+    out = (text or "").translate(_FOLDING)
+    for sign, letter in SIGNS.items():
+        if sign in out:
+            out = _LOOSE_SIGN.sub(" ", out).replace(sign, letter)
+    return out
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -89,30 +101,38 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled rows outside the held-out fold."""
+    """(text, y) of at most ``limit`` labelled rows outside the held-out fold, of
+    equal texts one."""
     y = F.col(label).cast("int")
     some = (labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
             .select(F.col("doc_id").alias("_id"), y.alias("y"))
             .orderBy(F.xxhash64("_id"), "_id", "y").limit(limit))
     # At most ``limit`` rows of 12 bytes.
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "y").dropDuplicates()
 
 
 def _terms(batches):
-    """Per partition: in how many documents of either class a word start
-    ("~abc") or a whole word ("~abc~") occurs."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    docs = [0, 0]
+    """Per partition: in how many documents of either class a word start ("abc")
+    or a whole word ("abc~") occurs, and how often."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+    times: tuple[Counter, Counter] = (Counter(), Counter())
+    docs, total = [0, 0], [0, 0]
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"].tolist(), strict=True):
-            words = {w for w in fold(text).split() if len(w) >= MIN_PREFIX}
-            starts = {w[:k] for w in words for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1)}
-            counts[y].update(starts)
-            counts[y].update(w + "~" for w in words if len(w) <= 40)
+            own: Counter = Counter()
+            for w, c in Counter(fold(text).split()).items():
+                total[y] += c
+                if MIN_PREFIX <= len(w) <= 40:
+                    for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w)) + 1):
+                        own[w[:k]] += c
+                    own[w + "~"] += c
+            held[y].update(own.keys())
+            times[y].update(own)
             docs[y] += 1
-    terms = list(counts[0].keys() | counts[1].keys())
-    yield pd.DataFrame({"term": ["", *terms], "neg": [docs[0], *(counts[0][t] for t in terms)],
-                        "pos": [docs[1], *(counts[1][t] for t in terms)]})
+    terms = list(held[0].keys() | held[1].keys())
+    yield pd.DataFrame({"term": ["", *terms], "neg": [docs[0], *(held[0][t] for t in terms)],
+                        "pos": [docs[1], *(held[1][t] for t in terms)], "tneg": [total[0], *(times[0][t] for t in terms)],
+                        "tpos": [total[1], *(times[1][t] for t in terms)]})
 
 
 @dataclass
@@ -122,7 +142,7 @@ class Lexicon:
 
     entries: dict[str, float] = field(default_factory=dict)
     exceptions: set[str] = field(default_factory=set)
-    coef: tuple[float, ...] = (0.0, 0.0, 0.0)
+    coef: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)
     fitted: bool = False
 
     def automaton(self):
@@ -138,6 +158,12 @@ class Lexicon:
         return a
 
 
+def chance_level(kinds: int, n: int, p: int) -> float:
+    """Likelihood ratio that an entry must reach: what the best of ``kinds`` terms
+    reaches by chance, and a hundredth of what a perfect entry would."""
+    return max(2 * math.log(max(2.0, kinds / NESTED)), 0.02 * p * math.log((n + p) / p))
+
+
 def _nested(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Of starts that continue each other, the longest that loses hardly any
     document, then none that only repeats a shorter one."""
@@ -158,8 +184,8 @@ def _nested(found: dict[str, tuple[float, int]]) -> dict[str, float]:
 def learn_lexicon(sample: DataFrame, scratch: C.Scratch, add: dict[str, float] | None = None,
                   add_exceptions: tuple[str, ...] = ()) -> Lexicon:
     lex = Lexicon({fold(k): v for k, v in (add or {}).items()}, {" ".join(fold(x).split()) for x in add_exceptions})
-    counts = C.spread(sample).mapInPandas(_terms, "term string, neg long, pos long").groupBy("term").agg(
-        F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = C.spread(sample).mapInPandas(_terms, "term string, neg long, pos long, tneg long, tpos long").groupBy("term").agg(
+        *[F.sum(c).alias(c) for c in ("neg", "pos", "tneg", "tpos")])
     counts = scratch.cut(counts.where(F.col("neg") + F.col("pos") >= MIN_HOLDERS), "terms")
     totals = counts.where("term = ''").first()
     if totals is None or not totals["neg"] or not totals["pos"]:
@@ -167,10 +193,11 @@ def learn_lexicon(sample: DataFrame, scratch: C.Scratch, add: dict[str, float] |
     n, p, kinds = totals["neg"], totals["pos"], counts.count()
     rate = (F.col("pos") + F.col("neg")) / F.lit(n + p)
     g2 = sum(2 * F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (rate * t))).otherwise(0.0) for c, t in (("neg", n), ("pos", p)))
-    weight = F.log(((F.col("pos") + 0.5) / (p + 1)) / ((F.col("neg") + 0.5) / (n + 1)))
+    weight = F.log(((F.col("tpos") + 0.5) / (totals["tpos"] + 1)) / ((F.col("tneg") + 0.5) / (totals["tneg"] + 1)))
     strong = (counts.where("term <> ''").withColumn("g2", g2).withColumn("weight", weight)
-              .where((F.col("pos") >= MIN_HOLDERS) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg")))
-                     & (F.col("g2") >= min(30.0, 2 * math.log(max(2, kinds / NESTED))))))
+              .where((F.col("pos") >= MIN_HOLDERS) & (F.col("tpos") >= MIN_PRECISION * (F.col("tpos") + F.col("tneg")))
+                     & (F.col("pos") / p > F.col("neg") / n)
+                     & (F.col("g2") >= chance_level(kinds, n, p))))
     best = strong.orderBy(F.desc("g2"), "term").limit(MAX_ENTRIES).select("term", "weight", "pos").collect()  # bounded
     lex.entries.update(_nested({r["term"]: (r["weight"], r["pos"]) for r in best}))
     starts = [e for e in lex.entries if not e.endswith(" ")]
@@ -186,8 +213,8 @@ def learn_lexicon(sample: DataFrame, scratch: C.Scratch, add: dict[str, float] |
     return lex
 
 
-def _hits(folded: str, automaton) -> tuple[float, int]:
-    """Summed weight and number of hits of a folded text."""
+def _hits(folded: str, automaton) -> tuple[float, int, float]:
+    """Summed weight, number and greatest weight of a folded text's hits."""
     best: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     for end, (size, w) in automaton.iter(folded):
@@ -202,25 +229,26 @@ def _hits(folded: str, automaton) -> tuple[float, int]:
             inside.update(s for s in range(a, b) if s in best)
         for s in inside:
             del best[s]
-    return sum(best.values()), len(best)
+    return sum(best.values()), len(best), max(best.values(), default=0.0)
 
 
 _BLANKS = re.compile(" {2,}")
 
 
 def features(texts, lex: Lexicon) -> np.ndarray:
-    """Per text: log of the summed weight, and of the weight per hundred words."""
+    """Per text: logarithms of the summed weight, of the weight per hundred words
+    and of the number of hits, and the heaviest hit."""
+    out = np.zeros((len(texts), 4))
     if not lex.entries:
-        return np.zeros((len(texts), 2))
+        return out
     auto = lex.automaton()
-    out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
         folded = f" {fold(text)} "
         if lex.exceptions:
             folded = _BLANKS.sub(" ", folded)  # phrases span any white space
-        w, _ = _hits(folded, auto)
+        w, n, top = _hits(folded, auto)
         if w:
-            out[i] = math.log1p(w), math.log1p(100 * w / max(1, len(folded.split())))
+            out[i] = math.log1p(w), math.log1p(100 * w / max(1, len(folded.split()))), math.log1p(n), top
     return out
 
 
@@ -248,11 +276,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
     def measured(batches):
         for pdf in batches:
             f = features(pdf["text"], lex)
-            yield pd.DataFrame({"a": f[:, 0], "b": f[:, 1], "y": pdf["y"].astype("int32")})
+            yield pd.DataFrame({**{c: f[:, k] for k, c in enumerate("abcd")}, "y": pdf["y"].astype("int32")})
 
-    rows = C.spread(sample).mapInPandas(measured, "a double, b double, y int").orderBy("a", "b", "y").toPandas()  # <= limit rows
+    rows = C.spread(sample).mapInPandas(measured, "a double, b double, c double, d double, y int")
+    rows = rows.orderBy(*"abcdy").toPandas()  # at most ``limit`` rows
     if rows["y"].nunique() == 2:
-        lex.coef = tuple(logistic_fit(rows[["a", "b"]].to_numpy(), rows["y"].to_numpy(float), ridge=0.1).tolist())
+        lex.coef = tuple(logistic_fit(rows[list("abcd")].to_numpy(), rows["y"].to_numpy(float), ridge=0.1).tolist())
         lex.fitted = True
     scratch.drop("sample", "terms")
     return lex

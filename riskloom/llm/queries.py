@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_line_dedup", "op2_sharding", "op3_quality", "op4_embedding_dedup", "op5_minhash_dedup", "op7_decontamination",
-           "op9_mixing", "op10_toxicity")
+MODULES = ("op1_line_dedup", "op2_sharding", "op3_quality", "op4_embedding_dedup", "op5_minhash_dedup", "op6_pii",
+           "op7_decontamination", "op8_chat", "op9_mixing", "op10_toxicity")
 
 
 def queries() -> dict:
