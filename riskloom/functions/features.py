@@ -15,30 +15,34 @@ from pyspark.sql import functions as F
 from riskloom.functions import scalar as S
 from riskloom.spec import Derived, FeatureSpec
 
-MAX_CARDINALITY = 1000
-
 
 # SC-1 -----------------------------------------------------------------------
-def learn_vocabulary(df: DataFrame, cols: Sequence[str], max_cardinality: int = MAX_CARDINALITY) -> dict[str, list[str]]:
+def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value): the distinct non-null values, as a table."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
+    return pairs.select("p.*").where(F.col("value").isNotNull()).distinct()
+
+
+def learn_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column, in one distributed pass.
 
-    Only the distinct (column, value) pairs reach the driver, and at most
-    ``len(cols) * max_cardinality + 1`` of them: a column with more values
-    than that is refused instead of exploding into columns.
+    The values become column names of the result, so as many strings as the
+    result has columns are on the driver.  For vocabularies that are too wide for
+    columns, :func:`one_hot_sparse` keeps them a table.
     """
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])).alias("p"))
-    distinct = pairs.select("p.k", "p.v").where(F.col("v").isNotNull()).distinct()
-    bound = len(cols) * max_cardinality
-    rows = distinct.limit(bound + 1).collect()
     vocab: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        vocab[r["k"]].append(r["v"])
-    for c, vals in vocab.items():
-        if len(vals) > max_cardinality or len(rows) > bound:
-            raise ValueError(f"column {c} has more than {max_cardinality} distinct values")
-        vals.sort()
-    return vocab
+    for r in vocabulary(df, cols).collect():
+        vocab[r["column"]].append(r["value"])
+    return {c: sorted(v) for c, v in vocab.items()}
+
+
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
+    """(row_id, column, value): the indicators that are 1, one row each, for
+    vocabularies of any size; nothing is collected and no column is added."""
+    pairs = df.select(row_id, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("p"))
+    return pairs.select(row_id, "p.*").where(F.col("value").isNotNull())
 
 
 def one_hot_columns(vocab: Mapping[str, Sequence[str]], dtype: str = "int") -> list[Column]:
@@ -47,10 +51,9 @@ def one_hot_columns(vocab: Mapping[str, Sequence[str]], dtype: str = "int") -> l
             for c, vals in vocab.items() for v in vals]
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] | None = None,
-            max_cardinality: int = MAX_CARDINALITY) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """SC-1: learn the vocabulary, then add one indicator column per value."""
-    vocab = learn_vocabulary(df, cols, max_cardinality)
+    vocab = learn_vocabulary(df, cols)
     keep = list(df.columns) if keep is None else list(keep)
     return df.select(*keep, *one_hot_columns(vocab))
 

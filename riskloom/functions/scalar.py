@@ -28,6 +28,15 @@ def missing_as_null(c: str | Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def is_floating(df, c: str) -> bool:
+    return df.schema[c].dataType.typeName() in ("float", "double")
+
+
+def order_key(df, c: str) -> Column:
+    """The column to sort by: NaN counts as NULL, so that it is last with it."""
+    return missing_as_null(c) if is_floating(df, c) else F.col(c)
+
+
 # SC-3 -----------------------------------------------------------------------
 def safe_ratio(a, b, eps: float = spec.DERIVE_EPS) -> Column:
     """a / (b + eps); NULL (not an error) when the denominator is zero."""
@@ -129,19 +138,22 @@ def scorecard(terms: Sequence[tuple], intercept: float = spec.SCORECARD_INTERCEP
     ('hinge_up', col, coef, knot) = coef*max(x-knot, 0),
     ('hinge_down', col, coef, knot) = coef*min(x-knot, 0),
     ('is', col, coef, value) = coef*[x == value].
+
+    A missing number (NULL or NaN) gives NULL, whatever the term; a missing
+    category is no match.
     """
     z = F.lit(float(intercept))
     for t in terms:
-        kind, c, coef = t[0], col(t[1]).cast("double") if t[0] != "is" else col(t[1]), float(t[2])
+        kind, c, coef = t[0], missing_as_null(t[1]) if t[0] != "is" else col(t[1]), float(t[2])
         if kind == "linear":
             center = float(t[3]) if len(t) > 3 else 0.0
             z = z + F.lit(coef) * (c - F.lit(center))
         elif kind == "log1p":
             z = z + F.lit(coef) * F.log1p(c)
         elif kind == "hinge_up":
-            z = z + F.lit(coef) * F.greatest(c - F.lit(float(t[3])), F.lit(0.0))
+            z = z + F.lit(coef) * F.when(c.isNotNull(), F.greatest(c - F.lit(float(t[3])), F.lit(0.0)))
         elif kind == "hinge_down":
-            z = z + F.lit(coef) * F.least(c - F.lit(float(t[3])), F.lit(0.0))
+            z = z + F.lit(coef) * F.when(c.isNotNull(), F.least(c - F.lit(float(t[3])), F.lit(0.0)))
         elif kind == "is":
             z = z + F.lit(coef) * F.coalesce(c == F.lit(t[3]), F.lit(False)).cast("double")
         else:
@@ -270,3 +282,21 @@ def from_explanation_json(text, schema: str = "array<struct<feature:string,shap_
 
 def zip_series(*arrays) -> Column:
     return F.arrays_zip(*[col(a) for a in arrays])
+
+
+# SC-26 / SC-27: responses built from small tables -------------------------------
+def counts_as_map(counts, key: str, value: str):
+    """One row: map of key -> value from a table of one row per group, keys ascending."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
+    return counts.agg(F.map_from_entries(pairs).alias("counts"))
+
+
+def records(df, cols: Sequence[str], out: str = "record") -> Column:
+    """Each row as a JSON object of the given columns (NULLs kept)."""
+    return F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}).alias(out)
+
+
+def series_as_arrays(df, order: str, cols: Sequence[str]):
+    """One row: every column of a small ordered table as an array in its order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols])))
+    return df.agg(rows.alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in cols])

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -21,6 +20,8 @@ from riskloom.operators import aggregates as AG
 from riskloom.operators.ordering import kfold
 
 FEATURES = "features"
+#: Trees per model; callers that need a quicker fit pass their number.
+N_TREES = 600
 VECTOR = "_fvec"
 
 
@@ -32,7 +33,8 @@ def to_vector(df: DataFrame, features_col: str = FEATURES, out: str = VECTOR) ->
 
 def positive_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight n_neg / n_pos on positives, 1 on negatives (scale_pos_weight)."""
-    ratio = AG.class_balance(df, label).select("neg_pos_ratio").scalar()
+    lab = F.col(label)
+    ratio = df.agg(F.try_divide(F.count_if(lab == 0).cast("double"), F.count_if(lab == 1).cast("double"))).scalar()
     return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)).cast("double"))
 
 
@@ -46,13 +48,13 @@ def _fit(df: DataFrame, label: str, params: dict, max_iter: int, weight: str | N
     return est.fit(data)
 
 
-def fit_gbt_a(df: DataFrame, label: str, max_iter: int = 20, features_col: str = FEATURES) -> GBTClassificationModel:
+def fit_gbt_a(df: DataFrame, label: str, max_iter: int = N_TREES, features_col: str = FEATURES) -> GBTClassificationModel:
     """ML-1: depth 6, step .05, min child 5, row .8, col .7, positive-class weight."""
     w = positive_weight(df, label, "_w")
     return _fit(w, label, spec.GBT_A_PARAMS, max_iter, "_w", features_col)
 
 
-def fit_gbt_b(df: DataFrame, label: str, max_iter: int = 20, features_col: str = FEATURES) -> GBTClassificationModel:
+def fit_gbt_b(df: DataFrame, label: str, max_iter: int = N_TREES, features_col: str = FEATURES) -> GBTClassificationModel:
     """ML-2: depth 7, step .05, min child 20, row .8, col .7, balanced weights."""
     w = AG.class_weights(df, label, "_w")
     return _fit(w, label, spec.GBT_B_PARAMS, max_iter, "_w", features_col)
@@ -78,34 +80,40 @@ def ensemble(model_a, model_b, df: DataFrame, features_col: str = FEATURES, clos
             .drop("_pa", "_pb"))
 
 
-def cross_validate(df: DataFrame, label: str, key: str, fits: dict[str, Callable] | Callable, k: int = 5,
-                   seed: int = 42, features_col: str = FEATURES, name: str = "model",
-                   parallelism: int | None = None) -> DataFrame:
-    """ML-4: stratified k-fold AUC for one or several models.
+def out_of_fold(df: DataFrame, label: str, key: str, fits: dict[str, Callable], k: int = 5, seed: int = 42,
+                features_col: str = FEATURES, parallelism: int = 4) -> DataFrame:
+    """(key, label, fold, one probability per model): every row scored by models
+    that never saw it.
 
-    The fold table is persisted once; every (model, fold) fit is submitted
-    from one driver thread pool (as MLlib's CrossValidator does with
-    ``parallelism``), so the jobs share the executors.  Only one number per
-    fit reaches the driver.
+    One set of k x models fits serves cross-validation and out-of-fold evaluation
+    alike.  The fold table is written once to the shared checkpoint folder, and
+    so are the scored folds, so no executor loss repeats a fit; at most
+    ``parallelism`` folds are fitted at a time from a driver thread pool.
     """
     from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    from riskloom.session import cut_lineage, spread_small
+    folds = cut_lineage(kfold(df.select(key, label, features_col), label, key, k=k, seed=seed))
+
+    def one(i: int) -> DataFrame:
+        train, held = spread_small(folds.where(F.col("fold") != i)), folds.where(F.col("fold") == i)
+        for name, fit in fits.items():
+            held = predict_proba(fit(train, label), held, name, features_col)
+        return cut_lineage(held.select(key, label, "fold", *fits))
 
-    fits = fits if isinstance(fits, dict) else {name: fits}
-    folds = kfold(df, label, key, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, range(k)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
-    def one(task):
-        model_name, fit, i = task
-        model = fit(folds.where(F.col("fold") != i), label)
-        held = predict_proba(model, folds.where(F.col("fold") == i), "_p", features_col)
-        return (model_name, i, float(AG.auc(held, label, "_p", digits=None).first()["auc"]))
 
-    tasks = [(m, f, i) for m, f in fits.items() for i in range(k)]
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism or len(tasks)) as pool:
-            parts = list(pool.map(one, tasks))
-    finally:
-        folds.unpersist()
-    return df.sparkSession.createDataFrame(parts, "model string, fold int, auc double")
+def cross_validate(scored: DataFrame, label: str, models: Sequence[str]) -> DataFrame:
+    """ML-4: (model, fold, auc) from an :func:`out_of_fold` table."""
+    out = None
+    for m in models:
+        part = AG.auc(scored, label, m, digits=None, group_cols=["fold"]).select(F.lit(m).alias("model"), "fold", "auc")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def train_eval(scored: DataFrame, label: str, prob: str = "_blend") -> DataFrame:
@@ -114,32 +122,6 @@ def train_eval(scored: DataFrame, label: str, prob: str = "_blend") -> DataFrame
     return AG.auc_ap(scored, label, prob)
 
 
-def out_of_fold_scores(df: DataFrame, label: str, key: str, fit_a: Callable, fit_b: Callable, k: int = 5,
-                       seed: int = 42, features_col: str = FEATURES) -> DataFrame:
-    """Blend scores where each row is scored by models that never saw it.
-
-    The k fold pairs are fitted from a driver thread pool; the scored folds
-    are written once to the shared checkpoint folder, which cuts the lineage
-    of k model applications and lets the fold table be released."""
-    from concurrent.futures import ThreadPoolExecutor
-    from functools import reduce
-
-    from riskloom.session import cut_lineage
-    folds = kfold(df, label, key, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(i: int) -> DataFrame:
-        train = folds.where(F.col("fold") != i)
-        ma, mb = fit_a(train, label), fit_b(train, label)
-        return ensemble(ma, mb, folds.where(F.col("fold") == i), features_col).select(key, label, "_blend")
-
-    try:
-        with ThreadPoolExecutor(max_workers=k) as pool:
-            parts = list(pool.map(one, range(k)))
-        return cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
-    finally:
-        folds.unpersist()
-
-
 def save_model(model: GBTClassificationModel, path: str, feature_names: Sequence[str]) -> str:
     """IO-7: MLlib's own format plus the ordered feature list beside it."""
     from pyspark.sql import SparkSession

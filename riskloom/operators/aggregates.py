@@ -114,22 +114,17 @@ def histogram(df: DataFrame, c: str, bins: int = spec.HIST_BINS, lo: float = spe
 def quantile_buckets(df: DataFrame, c: str, q: int = 10, digits: int = 4) -> DataFrame:
     """qcut: edges = exact quantiles at 0, 1/q, ..., 1; duplicate edges dropped;
     right-closed buckets, lowest value included; count per bucket."""
-    probs = [i / q for i in range(q + 1)]
-    qs = exact_quantiles(df, c, probs)
-    edges = qs.agg(F.array_distinct(F.array_sort(F.collect_list("value"))).alias("e")).scalar()
+    rows = exact_quantiles(df, {c: F.col(c)}, [i / q for i in range(q + 1)]).collect()  # q + 1 numbers
+    edges = sorted({r["value"] for r in rows})
     v = S.missing_as_null(c)
-    e = F.col("_e")
-    m = F.size(e)
-    bucketed = (df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-                .withColumn("_e", edges)
-                .select(F.size(F.filter(F.slice(e, 2, F.greatest(m - 2, F.lit(1))),
-                                        lambda x: x < F.col("_v"))).alias("bucket"), m.alias("_m")))
-    bucketed = bucketed.withColumn("bucket", F.when(F.col("_m") < 3, F.lit(0)).otherwise(F.col("bucket")))
-    counts = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    bounds = (qs.agg(F.array_distinct(F.array_sort(F.collect_list("value"))).alias("e"))
-              .select(F.posexplode(F.col("e")).alias("bucket", "lo"), F.col("e"))
-              .where(F.col("bucket") < F.size("e") - 1)
-              .select("bucket", "lo", F.element_at("e", F.col("bucket") + 2).alias("hi")))
+    n_buckets = max(0, len(edges) - 1)
+    bucket = F.lit(0)
+    for e in edges[1:-1]:
+        bucket = bucket + (F.col("_v") > F.lit(e)).cast("int")
+    counts = (df.select(v.alias("_v")).where(F.col("_v").isNotNull()).groupBy(bucket.alias("bucket"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    bounds = df.sparkSession.createDataFrame([(i, float(edges[i]), float(edges[i + 1])) for i in range(n_buckets)],
+                                             "bucket int, lo double, hi double")
     return (bounds.join(counts, "bucket", "left")
             .select("bucket", F.round("lo", digits).alias("lo"), F.round("hi", digits).alias("hi"),
                     F.coalesce("n", F.lit(0)).alias("n")).orderBy("bucket"))
@@ -151,36 +146,29 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """'balanced' weights n / (k * n_class) attached per row.
 
-    Per-class counts are a k-row table (k = number of classes, bounded by the
-    label domain), attached by broadcast join.
+    Per-class counts are one row per class, joined without a hint: the optimizer
+    broadcasts them by their size.  Rows without a label get no weight.
     """
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     weights = counts.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(weights), label, "left")
+    return df.join(weights, label, "left")
 
 
 # AG-11 ----------------------------------------------------------------------
 def medians(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Interpolated median of each column, one row (column name -> median).
 
-    exact=True ranks distinct values with distributed running totals (no value
-    map in one task); exact=False uses percentile_approx in one pass.
+    exact=True ranks only the values near the median (see ``exact_quantiles``);
+    exact=False uses percentile_approx in one pass.
     """
     if not exact:
         return df.agg(*[F.percentile_approx(S.missing_as_null(c), 0.5, accuracy).cast("double").alias(c)
                         for c in cols])
-    long = long_form(df, cols)
-    q = exact_quantiles(long, "value", [0.5], partition_cols=["column"])
+    q = exact_quantiles(df, {c: F.col(c) for c in cols}, [0.5])
     return q.groupBy().pivot("column", list(cols)).agg(F.first("value")).select(*cols)
 
 
-def long_form(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:
-    """Unpivot numeric columns to (column, value) doubles."""
-    return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), name, value)
-
-
 # AG-13 ----------------------------------------------------------------------
 def cv_summary(df: DataFrame, group: str, metric: str, digits: int = 4) -> DataFrame:
     """Mean and population std of a metric per group (numpy default ddof=0)."""
@@ -192,9 +180,10 @@ def cv_summary(df: DataFrame, group: str, metric: str, digits: int = 4) -> DataF
 
 # AG-14 / AG-15 ---------------------------------------------------------------
 def score_counts(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """(groups..., score, tp, fp): positives and negatives per distinct score."""
+    """(groups..., score, tp, fp): positives and negatives per distinct score; rows
+    with a missing score (NULL or NaN) or label are left out."""
     lab = F.col(label).cast("int")
-    return (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    return (df.where(S.missing_as_null(score).isNotNull() & lab.isNotNull())
             .groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
             .agg(F.sum(F.when(lab == 1, 1).otherwise(0)).cast("long").alias("tp"),
                  F.sum(F.when(lab == 1, 0).otherwise(1)).cast("long").alias("fp")))
@@ -215,7 +204,7 @@ def auc(df: DataFrame, label: str, score: str, digits: int | None = 6,
     sc = score_counts(df, label, score, g)
     run = running_totals(sc, "_s", ["tp"], partition_cols=g, descending=True)
     above = F.col("cum_tp") - F.col("tp")
-    value = F.sum(F.col("fp") * (above + F.col("tp") / F.lit(2.0))) / (F.sum("tp") * F.sum("fp")).cast("double")
+    value = F.sum(F.col("fp").cast("double") * (above + F.col("tp") / F.lit(2.0))) / (F.sum("tp").cast("double") * F.sum("fp").cast("double"))
     return run.groupBy(*g).agg(_maybe_round(value, digits).alias("auc"))
 
 
@@ -237,7 +226,7 @@ def auc_ap(df: DataFrame, label: str, score: str, digits: int | None = 6,
     sc = score_counts(df, label, score, g)
     run = running_totals(sc, "_s", ["tp", "fp"], partition_cols=g, descending=True)
     above = F.col("cum_tp") - F.col("tp")
-    auc_v = F.sum(F.col("fp") * (above + F.col("tp") / F.lit(2.0))) / (F.sum("tp") * F.sum("fp")).cast("double")
+    auc_v = F.sum(F.col("fp").cast("double") * (above + F.col("tp") / F.lit(2.0))) / (F.sum("tp").cast("double") * F.sum("fp").cast("double"))
     ap_v = F.sum(F.col("tp") * (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")))) / F.sum("tp")
     return run.groupBy(*g).agg(_maybe_round(auc_v, digits).alias("auc"),
                                _maybe_round(ap_v, digits).alias("average_precision"))
@@ -255,11 +244,13 @@ def profile(df: DataFrame, groups: dict[str, Sequence[str]], label: str | None =
 
 # AG-17 ----------------------------------------------------------------------
 def constraint_audit(df: DataFrame, pk: Sequence[str], not_null: Sequence[str] = (),
-                     max_len: dict[str, int] | None = None) -> DataFrame:
-    """Violations of a declared key, NOT NULL columns and VARCHAR(n) lengths.
+                     max_len: dict[str, int] | None = None, unique: Sequence[str] = ()) -> DataFrame:
+    """Violations of a declared key, NOT NULL columns, VARCHAR(n) lengths and
+    UNIQUE columns.
 
-    One row: duplicate key groups, rows in them, NULL keys, and one count per
-    NOT NULL / max-length rule.
+    One row: duplicate key groups, rows in them, NULL keys, one count per NOT NULL
+    and max-length rule, and per UNIQUE column the values held by several rows
+    (NULLs are not compared, as in SQL).
     """
     keyed = df.groupBy(*pk).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -270,10 +261,14 @@ def constraint_audit(df: DataFrame, pk: Sequence[str], not_null: Sequence[str] =
     for k in pk:
         null_key = null_key | F.col(k).isNull()
     dup = (F.col("_n") > 1) & ~null_key
-    return keyed.agg(
+    out = keyed.agg(
         F.count_if(dup).alias("dup_keys"),
         F.coalesce(F.sum(F.when(dup, F.col("_n"))), F.lit(0)).cast("long").alias("dup_rows"),
         F.coalesce(F.sum(F.when(null_key, F.col("_n"))), F.lit(0)).cast("long").alias("null_keys"),
         *[F.coalesce(F.sum(f"_nn_{i}"), F.lit(0)).cast("long").alias(f"null_{c}") for i, c in enumerate(not_null)],
         *[F.coalesce(F.sum(f"_tl_{i}"), F.lit(0)).cast("long").alias(f"toolong_{c}")
           for i, c in enumerate(max_len or {})])
+    for c in unique:
+        held = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.withColumn(f"notunique_{c}", held.agg(F.count_if(F.col("_n") > 1)).scalar())
+    return out

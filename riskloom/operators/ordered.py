@@ -14,40 +14,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import cut_lineage
-
-DEFAULT_RANGES = 64
-
-
-def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
-    if n_ranges:
-        return int(n_ranges)
-    try:
-        return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover - conf always set in practice
-        return DEFAULT_RANGES
-
-
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
-                   n_ranges: int | None = None, accuracy: int = 10000,
-                   materialize: bool = False) -> DataFrame:
+                   n_ranges: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Add ``cum_<c>`` = sum of c over rows with key <= this key (>= if descending),
     ties included, within ``partition_cols``.  ``order_col`` must be numeric and
     should be distinct per partition group (aggregate first: one row per key).
 
-    ``materialize`` writes the input once to the shared checkpoint folder;
-    worth it when the input is expensive to recompute, because the range
-    bounds are a second pass over it (the window and the range totals share
-    one exchange).  ``grand_<c>`` (the group total) is added for free from
-    the range table.
+    The number of ranges is the session's number of shuffle partitions unless
+    given; it shapes the plan, never the result.  ``grand_<c>`` (the group total)
+    is added for free from the range table.
     """
-    if materialize:
-        df = cut_lineage(df)
-    nr = _n_ranges(df, n_ranges)
+    nr = int(n_ranges or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order_col).cast("double")
     okey = -key if descending else key
     work = df.withColumn("_okey", okey)
@@ -64,7 +45,11 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         # Materialise the subquery as a column first: subqueries may not sit
         # inside a higher-order function.
         work = work.withColumn("_bounds", bounds.scalar())
-    work = work.withColumn("_rng", F.size(F.filter(F.col("_bounds"), lambda b: b < F.col("_okey"))))
+    # How many bounds lie below the key, by binary search: one comparison per level.
+    work = work.withColumn("_rng", F.lit(0))
+    for step in (2**k for k in reversed(range(max(1, (nr - 1).bit_length())))):
+        hit = F.get("_bounds", F.col("_rng") + F.lit(step - 1)) < F.col("_okey")
+        work = work.withColumn("_rng", F.col("_rng") + F.when(hit, F.lit(step)).otherwise(F.lit(0)))
     work = work.drop("_bounds")
 
     w = (Window.partitionBy(*parts, "_rng").orderBy("_okey")
@@ -90,39 +75,43 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     return out.drop(*drop)
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    partition_cols: Sequence[str] = (), n_ranges: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (numpy / pandas / DuckDB ``quantile_cont``).
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
+                    accuracy: int = 10000) -> DataFrame:
+    """Linear-interpolated quantiles (numpy / pandas / DuckDB ``quantile_cont``) of
+    several columns: one row per (column, prob index) with ``column, q_index,
+    prob, value``.  NULL and NaN are skipped; a column without values has no rows.
 
-    Returns one row per (partition group, prob index) with columns
-    ``q_index, prob, value``.  NULL and NaN are skipped.  Work is distributed:
-    values are first reduced to (value, count), then ranked with
-    :func:`running_totals`; only the rows holding target ranks are kept.
+    One pass brackets every quantile by approximate ones that are sure to enclose
+    it and counts the values; a second counts below the bracket; only the values
+    inside, about 4 / ``accuracy`` of the rows per quantile, are grouped and
+    ranked.  The driver sees a few numbers per column and quantile.
     """
-    parts = list(partition_cols)
-    v = F.col(value_col).cast("double")
-    counts = (df.select(*parts, v.alias("_v"))
-              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy(*parts, "_v").agg(F.count(F.lit(1)).alias("_cnt")))
-    ranked = running_totals(counts, "_v", ["_cnt"], partition_cols=parts, n_ranges=n_ranges)
-    n = F.col("grand__cnt")           # rows per group, from the range totals
-    targets = F.array(*[
-        F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"),
-                 ((n - F.lit(1)).cast("double") * F.lit(float(p))).alias("h"))
-        for i, p in enumerate(probs)])
-    start = F.col("cum__cnt") - F.col("_cnt")          # first 0-based rank held by this value
-    end = F.col("cum__cnt") - F.lit(1)                 # last rank held
-    hits = ranked.select(
-        *parts, "_v",
-        F.explode(F.filter(targets, lambda t: (
-            (F.floor(t["h"]).between(start, end)) | (F.ceil(t["h"]).between(start, end))))).alias("t"),
-        start.alias("_start"), end.alias("_end"))
-    lo_hit = F.floor(F.col("t.h")).between(F.col("_start"), F.col("_end"))
-    hi_hit = F.ceil(F.col("t.h")).between(F.col("_start"), F.col("_end"))
-    agg = hits.groupBy(*parts, F.col("t.qi").alias("q_index"), F.col("t.p").alias("prob"),
-                       F.col("t.h").alias("_h")).agg(
-        F.max(F.when(lo_hit, F.col("_v"))).alias("_lo"),
-        F.max(F.when(hi_hit, F.col("_v"))).alias("_hi"))
-    frac = F.col("_h") - F.floor("_h")
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
-    return agg.select(*parts, "q_index", "prob", value.alias("value"))
+    spark, names = df.sparkSession, list(columns)
+    v = df.select(*[F.nanvl(columns[c].cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
+    sides = [x for p in probs for x in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    stats = v.agg(*[e for i in range(len(names)) for e in (
+        F.percentile_approx(f"v{i}", sides, accuracy).alias(f"b{i}"), F.count(f"v{i}").alias(f"n{i}"),
+        F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"))]).first()
+    ask = []  # (column number, q_index, prob, low, high, wanted position)
+    for i in range(len(names)):
+        for k, p in enumerate(probs if stats[f"n{i}"] else ()):
+            low = stats[f"lo{i}"] if p - 2 / accuracy <= 0 else stats[f"b{i}"][2 * k]
+            high = stats[f"hi{i}"] if p + 2 / accuracy >= 1 else stats[f"b{i}"][2 * k + 1]
+            ask.append((i, k, float(p), low, high, (stats[f"n{i}"] - 1) * float(p)))
+    if not ask:
+        return spark.createDataFrame([], "column string, q_index int, prob double, value double")
+    below = v.agg(*[F.count_if(F.col(f"v{i}") < F.lit(low)).alias(f"c{j}") for j, (i, _, _, low, _, _) in enumerate(ask)]).first()
+    inside = F.filter(F.array(*[F.when(F.col(f"v{i}").between(low, high), F.struct(F.lit(j).alias("j"), F.col(f"v{i}").alias("x")))
+                                for j, (i, _, _, low, high, _) in enumerate(ask)]), lambda s: s.isNotNull())
+    counts = v.select(F.explode(inside).alias("s")).groupBy("s.j", "s.x").agg(F.count(F.lit(1)).alias("_cnt"))
+    ranked = running_totals(counts, "x", ["_cnt"], partition_cols=["j"])
+    table = spark.createDataFrame([(j, names[a[0]], a[1], a[2], below[f"c{j}"], a[5]) for j, a in enumerate(ask)],
+                                  "j int, column string, q_index int, prob double, below long, h double")
+    r = ranked.join(table, "j")
+    end = F.col("below") + F.col("cum__cnt") - F.lit(1)      # last 0-based rank that the value holds
+    start = end - F.col("_cnt") + F.lit(1)
+    agg = r.groupBy("j", "column", "q_index", "prob", "h").agg(
+        F.max(F.when(F.floor("h").between(start, end), F.col("x"))).alias("lo"),
+        F.max(F.when(F.ceil("h").between(start, end), F.col("x"))).alias("hi"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))
+    return agg.select("column", "q_index", "prob", value.alias("value"))

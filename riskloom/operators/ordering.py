@@ -11,24 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordered import running_totals
+from riskloom.functions import scalar as S
 
+#: Slices of a stratum in exact folds; only the plan depends on it.
+HASH_PARTS = 1024
 
-def _order(col: str, direction: str) -> Column:
-    """Anything but 'asc' is descending; NULL (and NaN) last either way."""
-    if direction == "asc":
-        return F.asc_nulls_last(col)
-    return F.desc_nulls_last(col)
 
-
-def _nan_last(col: str) -> Column:
-    c = F.col(col)
-    return F.when(F.isnan(c.cast("double")), F.lit(1)).otherwise(F.lit(0))
+def _order(c: Column, direction: str) -> Column:
+    """Anything but 'asc' is descending; missing values last either way."""
+    return F.asc_nulls_last(c) if direction == "asc" else F.desc_nulls_last(c)
 
 
 def sort_by(df: DataFrame, col: str, direction: str = "desc", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """SL-1: sort by any column, nulls last, unique tiebreak ascending."""
-    return df.orderBy(_order(col, direction), *[F.asc(c) for c in tiebreak])
+    """SL-1: sort by any column, NULL and NaN last, unique tiebreak ascending."""
+    return df.orderBy(_order(S.order_key(df, col), direction), *[F.asc(c) for c in tiebreak])
 
 
 def page(df: DataFrame, col: str, direction: str, tiebreak: Sequence[str], page_no: int = 1,
@@ -52,16 +48,21 @@ def top_k(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = (), directi
 
 
 def keyset_page(df: DataFrame, col: str, row_id: str, size: int, after: tuple | None = None) -> DataFrame:
-    """SL-7: next page after (score, id) in (score desc, id asc) order.
+    """SL-7: next page after (score, id) in (score desc, id asc) order; rows with
+    a missing score come last, by id, and follow ``after=(None, id)``.
 
     Deep pages cost the same as the first one: the seek predicate is pushed to
     the scan and only ``size`` rows per partition are kept.
     """
-    out = df.where(F.col(col).isNotNull())
+    score = S.order_key(df, col)
+    out = df
     if after is not None:
         s, i = after
-        out = out.where((F.col(col) < F.lit(s)) | ((F.col(col) == F.lit(s)) & (F.col(row_id) > F.lit(i))))
-    return out.orderBy(F.desc(col), F.asc(row_id)).limit(size)
+        if s is None or s != s:
+            out = out.where(score.isNull() & (F.col(row_id) > F.lit(i)))
+        else:
+            out = out.where((score < F.lit(s)) | ((score == F.lit(s)) & (F.col(row_id) > F.lit(i))) | score.isNull())
+    return out.orderBy(F.desc_nulls_last(score), F.asc(row_id)).limit(size)
 
 
 def hash_key(seed: int | str, key: str) -> Column:
@@ -79,18 +80,19 @@ def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, mode:
     """SL-6: stratified shuffled folds.
 
     exact: rank rows within each label by (md5 prefix, key), fold = rank mod k.
-    The per-label rank is built from distributed running totals over hash
-    values, never one task per label.  hash: fold = pmod(xxhash64(seed, key), k),
-    a per-row function with no shuffle (stratified only in expectation).
+    Rows without a label are a stratum of their own.  Each stratum is cut into
+    ``HASH_PARTS`` slices of the hash; rows are numbered in their slice and the
+    slices' counts give the offsets, so the rows are shuffled once and no stratum
+    is one task.  hash: fold = pmod(xxhash64(seed, key), k), a per-row function
+    with no shuffle (stratified only in expectation).
     """
     if mode == "hash":
         return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
     h = F.conv(F.substring(hash_key(seed, key), 1, 13), 16, 10).cast("long")
-    t = df.withColumn("_h", h)
-    counts = t.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = running_totals(counts, "_h", ["_cnt"], partition_cols=[label])
-    w = Window.partitionBy(label, "_h").orderBy(F.col(key))
-    t = t.withColumn("_rn", F.row_number().over(w))
-    j = t.join(ranked.select(label, "_h", "_cnt", "cum__cnt"), [label, "_h"], "inner")
-    rank = F.col("cum__cnt") - F.col("_cnt") + F.col("_rn") - F.lit(1)
-    return j.withColumn(out, (rank % F.lit(k)).cast("int")).drop("_h", "_cnt", "cum__cnt", "_rn")
+    t = df.withColumn("_h", h).withColumn("_s", F.floor(F.col("_h") / F.lit(2**52 // HASH_PARTS)))
+    t = t.withColumn("_l", F.when(F.col(label).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(label).cast("string"))))
+    t = t.withColumn("_rn", F.row_number().over(Window.partitionBy("_l", "_s").orderBy("_h", key)))
+    counts = t.groupBy("_l", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_l", "_s", (F.sum("_n").over(Window.partitionBy("_l").orderBy("_s")) - F.col("_n")).alias("_b"))
+    rank = F.col("_b") + F.col("_rn") - F.lit(1)
+    return t.join(before, ["_l", "_s"]).withColumn(out, (rank % F.lit(k)).cast("int")).select(*df.columns, out)

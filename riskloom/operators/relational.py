@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import scalar as S
 
-# Largest dimension we broadcast without asking the optimizer (rows).
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 # --------------------------------------------------------------------------
 # Projections
@@ -67,9 +64,12 @@ def filter_optional(df: DataFrame, eq: Mapping[str, object]) -> DataFrame:
 
 
 def filter_range(df: DataFrame, c: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """FI-2: inclusive bounds; only None disables a bound (0.0 is a bound)."""
+    """FI-2: inclusive bounds; only None disables a bound (0.0 is a bound).
+    A missing value (NULL or NaN) is outside every bound."""
     if lo is not None:
         df = df.where(F.col(c) >= F.lit(lo))
+        if S.is_floating(df, c):
+            df = df.where(~F.isnan(c))  # NaN sorts above every number
     if hi is not None:
         df = df.where(F.col(c) <= F.lit(hi))
     return df
@@ -87,7 +87,7 @@ def top_of_tier(df: DataFrame, tier_col: str, tier: str, score: str, n: int,
                 tiebreak: Sequence[str] = ()) -> DataFrame:
     """FI-4: the n highest scores inside one tier (TakeOrderedAndProject)."""
     return (df.where(F.col(tier_col) == F.lit(tier))
-            .orderBy(F.desc_nulls_last(score), *[F.asc(c) for c in tiebreak]).limit(n))
+            .orderBy(F.desc_nulls_last(S.order_key(df, score)), *[F.asc(c) for c in tiebreak]).limit(n))
 
 
 def abnormal_only(df: DataFrame, value: str, channel: str,
@@ -100,17 +100,6 @@ def abnormal_only(df: DataFrame, value: str, channel: str,
 # --------------------------------------------------------------------------
 # Joins
 # --------------------------------------------------------------------------
-def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only after proving it has at most ``max_rows`` rows.
-
-    The proof is a bounded action (``limit(max_rows + 1).count()``); beyond
-    the bound the plain DataFrame is returned and Catalyst/AQE choose a
-    shuffle join.
-    """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
 def assemble_entities(core: DataFrame, parts: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
     """JO-1: glue column groups of the same entity by key (inner equi-joins)."""
     out = core
@@ -120,14 +109,16 @@ def assemble_entities(core: DataFrame, parts: Sequence[DataFrame], on: str | Seq
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, on: str, defaults: Mapping[str, object] | None = None,
-                   key_default: Mapping[str, str] | None = None,
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   key_default: Mapping[str, str] | None = None) -> DataFrame:
     """JO-2: left join a dimension with per-column fallbacks.
 
+    No join hint: the optimizer broadcasts a dimension whose size in bytes is
+    under its threshold and shuffles a larger one.
+
     ``defaults``: column -> literal when the key is absent from ``dim``;
     ``key_default``: column -> use the key itself (as string) when absent.
     """
-    out = df.join(bounded_broadcast(dim, max_rows), on, "left")
+    out = df.join(dim, on, "left")
     cols = []
     for c in out.columns:
         if defaults and c in defaults:
@@ -140,10 +131,10 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: str, defaults: Mapping[str
 
 
 def map_codes(df: DataFrame, code: str, dim: DataFrame, dim_key: str,
-              label_col: str, unknown: str = "Unknown", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+              label_col: str, unknown: str = "Unknown") -> DataFrame:
     """JO-3: code -> label (and any other dimension attributes); 'Unknown' fallback."""
     d = dim.withColumnRenamed(dim_key, "_code_key")
-    out = df.join(bounded_broadcast(d, max_rows), F.col(code) == F.col("_code_key"), "left").drop("_code_key")
+    out = df.join(d, F.col(code) == F.col("_code_key"), "left").drop("_code_key")
     return out.withColumn(label_col, F.coalesce(F.col(label_col), F.lit(unknown)))
 
 

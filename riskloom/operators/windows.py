@@ -15,17 +15,31 @@ from pyspark.sql import functions as F
 
 from riskloom import spec
 from riskloom.functions import scalar as S
+from riskloom.session import cut_lineage
 
 
 # WI-1 -----------------------------------------------------------------------
 def rank_groups(agg: DataFrame, by: str, key: str, out: str = "rank") -> DataFrame:
     """Ordinal rank (1 = highest ``by``) over an already aggregated table.
 
-    The window is unpartitioned, so use it only on aggregated input (one row
-    per group), never on raw rows.
+    Meant for aggregated input (one row per group).  The rank is a running count
+    over value ranges, so even a table of very many groups is never sorted in one
+    task.  Missing values (NULL or NaN) rank last.
     """
-    w = Window.orderBy(F.desc_nulls_last(by), F.asc(key))
-    return agg.withColumn(out, F.row_number().over(w))
+    return global_rank(agg, [F.desc_nulls_last(S.order_key(agg, by)), F.asc(key)], out)
+
+
+def global_rank(df: DataFrame, order: Sequence, out: str) -> DataFrame:
+    """1-based position in the order over all rows: rows are range-partitioned and
+    numbered per partition; the partitions' counts give the offsets."""
+    cols = df.columns
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written once: the number of a row's partition must not change on a re-run.
+    parts = cut_lineage(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = counts.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return parts.join(before, "_p").select(
+        *cols, (F.col("_before") + F.col("_i") - F.col("_first") + 1).cast("int").alias(out))
 
 
 # WI-2 -----------------------------------------------------------------------
@@ -67,9 +81,10 @@ def latest(df: DataFrame, key: str, ts: str, cols: Sequence[str], tiebreak: str
 def relative_band(df: DataFrame, value: str, out: str = "band",
                   bands: Sequence[tuple[float, str]] = spec.RELATIVE_BANDS,
                   other: str = spec.RELATIVE_BAND_ELSE) -> DataFrame:
-    """Band by share of the maximum (max attached as a scalar subquery)."""
-    mx = df.agg(F.max(F.col(value)).alias("m")).scalar()
-    share = F.try_divide(F.col(value).cast("double"), mx.cast("double"))
+    """Band by share of the maximum (max attached as a scalar subquery); missing
+    values (NULL or NaN) have no share and are not the maximum."""
+    mx = df.agg(F.max(S.missing_as_null(value)).alias("m")).scalar()
+    share = F.try_divide(S.missing_as_null(value), mx.cast("double"))
     expr = None
     for t, lab in bands:
         expr = F.when(share > F.lit(t), F.lit(lab)) if expr is None else expr.when(share > F.lit(t), F.lit(lab))
@@ -77,20 +92,17 @@ def relative_band(df: DataFrame, value: str, out: str = "band",
 
 
 # WI-6 -----------------------------------------------------------------------
-def _day(ts: str):
-    return F.datediff(F.to_date(F.col(ts)), F.lit("1970-01-01").cast("date"))
-
-
 def return_within(df: DataFrame, key: str, ts: str, row_id: str, days: int = 30,
-                  out: str = "label", bucket_days: int = 30) -> DataFrame:
+                  out: str = "label", slice_seconds: int = 600) -> DataFrame:
     """1 if the key's next row (by ts, row_id) falls within ``days`` calendar days.
 
-    Skew-safe lead: the lead runs per (key, time bucket); the last row of each
-    bucket takes the first timestamp of the key's next non-empty bucket, found
-    on the per-(key, bucket) summary table.
+    Skew-safe lead: a key's rows are cut into slices of a few minutes of its
+    timeline; the lead runs in a slice, and the last row of a slice takes the
+    first timestamp of the key's next non-empty slice, found on the per-slice
+    summary (one row per slice, however many rows it holds).
     """
-    b = F.floor(_day(ts) / F.lit(bucket_days))
-    x = df.withColumn("_b", b)
+    slice_ = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(slice_seconds))
+    x = df.withColumn("_b", slice_)
     w = Window.partitionBy(key, "_b").orderBy(F.col(ts), F.col(row_id))
     x = x.withColumn("_next_in", F.lead(ts).over(w))
     firsts = x.groupBy(key, "_b").agg(F.min(ts).alias("_first"))
@@ -103,22 +115,32 @@ def return_within(df: DataFrame, key: str, ts: str, row_id: str, days: int = 30,
 
 
 # WI-7 -----------------------------------------------------------------------
-def prior_count(df: DataFrame, key: str, ts: str, days: int = 365, out: str = "prior_count") -> DataFrame:
-    """Rows of the same key in [ts - days, ts - 1 s] (epoch-second range frame).
-
-    Skew-safe: time is cut into buckets as wide as the frame; each row is also
-    copied (key and time only) into the next bucket, so every frame is covered
-    by one (key, bucket) partition.
+def prior_count(df: DataFrame, key: str, ts: str, days: int = 365, out: str = "prior_count",
+                salts: int = 64) -> DataFrame:
+    """Rows of the same key in [ts - days, ts - 1 s].
+
+    The count is (rows of the key before ts) - (rows before ts - days), two
+    lookups in the key's running totals.  The totals are built per (key, second),
+    one row however many rows share it, in slices of ``days`` / ``salts``, whose
+    sums give the offsets, so neither a hot key nor a hot year is one task's rows.
     """
     width = int(days) * 86400
+    step = max(1, width // salts)
     sec = F.unix_seconds(F.col(ts).cast("timestamp"))
-    real = df.withColumn("_sec", sec).withColumn("_b", F.floor(F.col("_sec") / F.lit(width))) \
-             .withColumn("_real", F.lit(True))
-    shadow = real.select(key, "_sec", (F.col("_b") + 1).alias("_b"), F.lit(False).alias("_real"))
-    u = real.unionByName(shadow, allowMissingColumns=True)
-    w = Window.partitionBy(key, "_b").orderBy("_sec").rangeBetween(-width, -1)
-    return (u.withColumn(out, F.count(F.lit(1)).over(w)).where(F.col("_real"))
-            .drop("_sec", "_b", "_real"))
+    x = df.withColumn("_sec", sec)
+    per = x.where(F.col("_sec").isNotNull()).groupBy(key, "_sec").agg(F.count(F.lit(1)).alias("_n"))
+    # Points where the running total is asked for: at a row's second, and days before.
+    asked = per.select(key, "_sec", F.explode(F.array(
+        F.struct(F.col("_sec").alias("at"), F.col("_n").alias("n"), F.lit(False).alias("back")),
+        F.struct((F.col("_sec") - width).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("back")))).alias("p"))
+    asked = asked.select(key, "_sec", "p.*").withColumn("_b", F.floor(F.col("at") / F.lit(step)))
+    w = Window.partitionBy(key, "_b").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    inside = asked.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    sums = asked.groupBy(key, "_b").agg(F.sum("n").alias("_s"))
+    sums = sums.withColumn("_off", F.sum("_s").over(Window.partitionBy(key).orderBy("_b")) - F.col("_s")).drop("_s")
+    total = (inside.join(sums, [key, "_b"]).withColumn("_t", F.col("_off") + F.col("_in"))
+             .groupBy(key, "_sec").agg((F.sum(F.when(~F.col("back"), F.col("_t"))) - F.sum(F.when(F.col("back"), F.col("_t")))).alias(out)))
+    return x.join(total, [key, "_sec"], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long")).drop("_sec").select(*df.columns, out)
 
 
 # SC-25 / SC-27 helpers over bounded (per-key last-n) input --------------------

@@ -58,7 +58,7 @@ SELECT admission_id AS patient_id, score AS risk_score, risk_tier, 'v1.0' AS mod
        CAST(NULL AS VARCHAR) AS shap_top10 FROM admissions"""))
 def q_predictions_sink(spark, d):
     path = T.roundtrip_path(spark, "predictions")
-    T.predictions_sink(admissions(spark, d), path, key="admission_id", prob="score", tier="risk_tier")
+    T.predictions_sink(admissions(spark, d), path, key="admission_id", probs={"risk_score": "score"}, tier="risk_tier")
     return spark.read.parquet(path).drop("predicted_at")
 
 

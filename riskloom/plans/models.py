@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom import spec
 from riskloom.functions import features as FE
+from riskloom.functions import scalar as S
 from riskloom.models import gbt as G
 from riskloom.models import treeshap as TS
 from riskloom.operators import relational as R
 from riskloom.operators.windows import prior_count
 from riskloom.plans.fixture import admissions, table
+from riskloom.session import cut_lineage, spread_small
 from riskloom.sources import tables as T
 from riskloom.spec import Derived, FeatureSpec
 from riskloom.streaming import monitor as M
@@ -22,8 +25,10 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 GLOBAL_ROWS = 5000
-MAX_ITER = 10          # trees per model in the registered queries (the reference used 600)
-CV_ITER = 5
+#: Trees of every model that the registered queries fit, score, explain and
+#: validate; the library's own default is 600 (``gbt.N_TREES``).
+TREES = 10
+FITS = {"gbt_a": lambda df, lab: G.fit_gbt_a(df, lab, TREES), "gbt_b": lambda df, lab: G.fit_gbt_b(df, lab, TREES)}
 
 
 def register(name: str, sql: str | None = None):
@@ -69,29 +74,32 @@ def admission_features(spark: SparkSession, d: str, impute: bool = True) -> Data
 _CACHE: dict = {}
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin over all cores before CPU-heavy per-row Python (SHAP):
-    small inputs come back from Parquet packed into a few partitions."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def _once(spark: SparkSession, d: str, what: str, make):
+    """A result shared by queries over the same tables within one application."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _CACHE:
+        _CACHE[key] = make()
+    return _CACHE[key]
 
 
-def fitted(spark: SparkSession, d: str, max_iter: int = MAX_ITER):
-    """(features, model A, model B), fitted once per (table dir, trees)."""
-    key = (d, max_iter)
-    if key not in _CACHE:
-        from riskloom.session import cut_lineage
-        # Spread the training table over every core before the reliable
-        # checkpoint: AQE may have coalesced the last shuffle into a few
-        # partitions, and MLlib's tree fits run one task per partition.
-        par = spark.sparkContext.defaultParallelism
-        feats = cut_lineage(admission_features(spark, d).repartition(par))
+def fitted(spark: SparkSession, d: str):
+    """(features, model A, model B), fitted once per application and table dir."""
+    def make():
         from concurrent.futures import ThreadPoolExecutor
+
+        feats = spread_small(cut_lineage(admission_features(spark, d)))
         with ThreadPoolExecutor(max_workers=2) as pool:   # two independent fits share the executors
-            fa = pool.submit(G.fit_gbt_a, feats, "label", max_iter)
-            fb = pool.submit(G.fit_gbt_b, feats, "label", max_iter)
-            ma, mb = fa.result(), fb.result()
-        _CACHE[key] = (feats, ma, mb)
-    return _CACHE[key]
+            ma, mb = pool.map(lambda fit: fit(feats, "label"), FITS.values())
+        return feats, ma, mb
+
+    return _once(spark, d, "fit", make)
+
+
+def held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Every row scored by models of the other folds, with the same trees as the
+    fitted models; serves cross-validation and out-of-fold evaluation."""
+    feats, _, _ = fitted(spark, d)
+    return _once(spark, d, "folds", lambda: G.out_of_fold(feats, "label", "admission_id", FITS, k=5))
 
 
 @register("ml1_fit_gbt_a")
@@ -108,10 +116,7 @@ def q_fit_b(spark, d):
 
 @register("ml4_cross_validate")
 def q_cross_validate(spark, d):
-    feats, _, _ = fitted(spark, d)
-    fits = {"gbt_a": lambda df, lab: G.fit_gbt_a(df, lab, CV_ITER),
-            "gbt_b": lambda df, lab: G.fit_gbt_b(df, lab, CV_ITER)}
-    return G.cross_validate(feats, "label", "admission_id", fits, k=5)
+    return G.cross_validate(held_out(spark, d), "label", list(FITS))
 
 
 @register("ml5_ensemble")
@@ -123,7 +128,18 @@ def q_ensemble(spark, d):
 @register("ml6_explain")
 def q_explain(spark, d):
     feats, ma, _ = fitted(spark, d)
-    ex = TS.explain(ma, _spread(feats), "features", ["admission_id"], ADM_SPEC.names, top_n=10)
+    ex = TS.explain(ma, feats, "features", ["admission_id"], ADM_SPEC.names, top_n=10)
+    return ex.select("admission_id", "base_value", F.posexplode("explanation").alias("pos", "e")) \
+        .select("admission_id", "base_value", "pos", "e.feature", "e.shap_value", "e.direction")
+
+
+@register("ml6_explain_blend")
+def q_explain_blend(spark, d):
+    """Drivers of the blend: the weighted sum of both models' margins."""
+    feats, ma, mb = fitted(spark, d)
+    n = len(ADM_SPEC.names)
+    both = TS.combine([TS.path_table(m, n, spark) for m in (ma, mb)], spec.BLEND_WEIGHTS)
+    ex = TS.explain(None, feats, "features", ["admission_id"], ADM_SPEC.names, top_n=10, pt=both)
     return ex.select("admission_id", "base_value", F.posexplode("explanation").alias("pos", "e")) \
         .select("admission_id", "base_value", "pos", "e.feature", "e.shap_value", "e.direction")
 
@@ -133,17 +149,26 @@ def q_global_explain(spark, d):
     """SL-5 -> ML-6 -> AG-12: importance on a seeded 5,000-row sample."""
     from riskloom.operators.ordering import sample_n
     feats, ma, _ = fitted(spark, d)
-    sample = sample_n(feats, GLOBAL_ROWS, 42, "admission_id")
-    ex = TS.explain(ma, sample, "features", ["admission_id"], ADM_SPEC.names)
-    return TS.global_importance(ex, ADM_SPEC.names)
+    sample = spread_small(sample_n(feats, GLOBAL_ROWS, 42, "admission_id"))
+    return TS.importance(ma, sample, "features", ADM_SPEC.names)
 
 
 @register("ag12_global_importance")
 def q_global_importance(spark, d):
     """AG-12 over every row: explanations are partitioned, so no sample is needed."""
     feats, ma, _ = fitted(spark, d)
-    ex = TS.explain(ma, _spread(feats), "features", ["admission_id"], ADM_SPEC.names)
-    return TS.global_importance(ex, ADM_SPEC.names)
+    return TS.importance(ma, feats, "features", ADM_SPEC.names)
+
+
+@register("ag12_given_explanations", """
+SELECT feature, round(avg(abs(v)), 4) AS mean_shap FROM (
+  SELECT 'discount' AS feature, -l_discount AS v FROM lineitem UNION ALL SELECT 'quantity', l_quantity / 64 FROM lineitem
+  UNION ALL SELECT 'tax', l_tax FROM lineitem) GROUP BY feature""")
+def q_given_explanations(spark, d):
+    """AG-12 over explanations that are already a table."""
+    li = table(spark, d, "lineitem")
+    return TS.global_importance(li.select(F.array(F.col("l_quantity") / 64, -F.col("l_discount"), "l_tax").alias("shap")),
+                                ["quantity", "discount", "tax"])
 
 
 @register("ml3_predict_proba")
@@ -171,9 +196,7 @@ def score_table(spark: SparkSession, payload: DataFrame, base: DataFrame, ma, mb
     filled = R.with_defaults(payload, base, cols)
     f = FE.derive_features(filled, ADM_SPEC, keep=["admission_id"], impute=False)
     arr = R.assemble_array(f, ADM_SPEC.names, keep=["admission_id"])
-    # The explanation is CPU-heavy Python per row: spread the payload over all
-    # cores (AQE may have coalesced a small payload into one partition).
-    arr = _spread(arr)
+    arr = spread_small(arr)  # the explanation is CPU-heavy Python per row
     scored = G.ensemble(ma, mb, arr, closed="left")
     # Explain the scored rows themselves: score columns ride through the
     # partition function, so there is one pipeline and no self-join.
@@ -187,7 +210,7 @@ def q_score_table(spark, d):
     _, ma, mb = fitted(spark, d)
     wide = admission_wide(spark, d)
     base = wide.orderBy("admission_id").limit(1)
-    payload = wide.where(F.col("segment") == "BUILDING").select(
+    payload = wide.select(
         "admission_id", "score_raw", "priority", "status", F.lit(None).cast("double").alias("los"))
     out = score_table(spark, payload, base, ma, mb)
     return out.select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier",
@@ -199,9 +222,12 @@ def q_detail(spark, d):
     feats, ma, mb = fitted(spark, d)
     one = R.lookup(feats, "patient_id", 100, order_by=["admission_id"])
     scored = G.ensemble(ma, mb, one)
-    keep = ["admission_id", "patient_id", "label", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
+    keep = ["admission_id", "patient_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
     ex = TS.explain(ma, scored, "features", keep, ADM_SPEC.names, top_n=12)
-    return ex.select(*keep, "explanation")
+    # The stored row beside its scores and drivers, as one JSON record.
+    row = R.lookup(admissions(spark, d), "patient_id", 100, order_by=["admission_id"])
+    row = row.select("admission_id", S.records(row, row.columns, "patient"))
+    return ex.join(row, "admission_id").select(*keep, "explanation", "patient")
 
 
 @register("ml10_train_eval")
@@ -214,10 +240,7 @@ def q_train_eval(spark, d):
 def q_train_eval_oof(spark, d):
     """AUC / AP of the blend scored out of fold (each row by models that did
     not see it), next to the in-sample figures of ml10_train_eval."""
-    feats, _, _ = fitted(spark, d)
-    oof = G.out_of_fold_scores(feats, "label", "admission_id",
-                               lambda df, lab: G.fit_gbt_a(df, lab, CV_ITER),
-                               lambda df, lab: G.fit_gbt_b(df, lab, CV_ITER), k=5)
+    oof = held_out(spark, d).withColumn("_blend", S.blend(list(FITS)))
     return G.train_eval(oof, "label")
 
 
@@ -226,9 +249,11 @@ def q_run_metrics(spark, d):
     feats, ma, mb = fitted(spark, d)
     ev = G.train_eval(G.ensemble(ma, mb, feats), "label").first()   # one row
     bal = G.AG.class_balance(feats, "label").first()                # one row
-    params = {**{k: v for k, v in G.spec.GBT_A_PARAMS.items()}, "maxIter": MAX_ITER, "ensemble_weight_a": 0.5,
+    params = {**{k: v for k, v in G.spec.GBT_A_PARAMS.items()}, "maxIter": TREES, "ensemble_weight_a": 0.5,
               "n_features": len(ADM_SPEC.names)}
-    metrics = {"ensemble_train_auc": ev["auc"], "ensemble_train_ap": ev["average_precision"],
+    cv = G.AG.cv_summary(G.cross_validate(held_out(spark, d), "label", list(FITS)), "model", "auc").collect()  # one row per model
+    metrics = {f"{r['model']}_cv_auc_{k}": r[k] for r in cv for k in ("mean", "std")}
+    metrics |= {"ensemble_train_auc": ev["auc"], "ensemble_train_ap": ev["average_precision"],
                "n_rows": bal["n"], "positive_rate": bal["positive_rate"]}
     path = T.roundtrip_path(spark, "runs")
     T.run_metrics_sink(spark, params, metrics, path)
@@ -252,6 +277,6 @@ def q_score_stream(spark, d):
     src, out, ck = f"{base}/in", f"{base}/out", f"{base}/_checkpoint"
     feats.write.mode("overwrite").parquet(src)           # the admissions topic, as files
     stream = spark.readStream.schema(feats.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    scored = G.ensemble(ma, mb, stream).select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier")
-    M.run_to_completion(M.vitals_sink(scored, out, ck))
-    return spark.read.parquet(out)
+    probs = {c: c for c in ("prob_a", "prob_b", "ensemble_prob")}
+    M.run_to_completion(T.predictions_stream_sink(G.ensemble(ma, mb, stream), out, ck, key="admission_id", probs=probs, tier="risk_tier"))
+    return spark.read.parquet(out).drop("predicted_at", "batch_id")

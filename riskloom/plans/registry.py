@@ -6,28 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.plans import io, missing, models, scalars, streams, surface
 
-def _modules():
-    from riskloom.plans import surface
-    mods = [surface]
-    for name in ("scalars", "io", "streams", "models"):
-        try:
-            mods.append(__import__(f"riskloom.plans.{name}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"riskloom.plans.{name}":
-                raise
-    return mods
+_MODULES = (surface, scalars, io, streams, models, missing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict = {}
-    for m in _modules():
+    for m in _MODULES:
         out.update(m.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict = {}
-    for m in _modules():
+    for m in _MODULES:
         out.update(m.SQL)
     return out

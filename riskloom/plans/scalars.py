@@ -373,15 +373,14 @@ def q_zip_series(spark, d):
 SELECT risk_tier AS tier, count(*) AS n FROM admissions WHERE risk_tier IS NOT NULL GROUP BY risk_tier"""))
 def q_counts_as_map(spark, d):
     counts = AG.tier_counts(admissions(spark, d), "risk_tier")
-    m = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("risk_tier", "n")))).alias("by_tier"))
-    return m.select(F.explode("by_tier").alias("tier", "n"))
+    return S.counts_as_map(counts, "risk_tier", "n").select(F.explode("counts").alias("tier", "n"))
 
 
 @register("sc27_records", """
 SELECT n_nationkey, to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS record FROM nation""")
 def q_records(spark, d):
     n = table(spark, d, "nation")
-    return n.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("record"))
+    return n.select("n_nationkey", S.records(n, ["n_nationkey", "n_name", "n_regionkey"]))
 
 
 @register("sc28_decode", """

@@ -31,9 +31,32 @@ EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
                  "props string")
 
 
+N_FILES = 4
+_TOPIC: dict = {}
+
+
+def _topic(spark, d) -> str:
+    """The events as a topic of several files, written one after the other in
+    event-time order, so that a stream over them runs in several micro-batches."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TOPIC:
+        path = roundtrip_path(spark, "topic")
+        sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+        ev = table(spark, d, "events")
+        cuts = ev.select(sec.cast("double").alias("s")).approxQuantile("s", [k / N_FILES for k in range(1, N_FILES)], 0.01)
+        for lo, hi in zip([None, *cuts], [*cuts, None]):
+            part = ev
+            if lo is not None:
+                part = part.where(sec >= F.lit(lo))
+            if hi is not None:
+                part = part.where(sec < F.lit(hi))
+            part.write.mode("append").parquet(path)
+        _TOPIC[key] = path
+    return _TOPIC[key]
+
+
 def _stream(spark, d):
-    # A glob keeps the directory as the base path: the fixture table is one file.
-    return M.vitals_source(spark, f"{d}/events.parque[t]", EVENTS_SCHEMA)
+    return M.vitals_source(spark, _topic(spark, d), EVENTS_SCHEMA, max_files_per_trigger=1)
 
 
 def _paths(spark, name):

@@ -521,7 +521,7 @@ def q_enrich_stream_batch(spark, d):
     """Batch twin of the stream-static enrichment (the stream form is st1)."""
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_acctbal")
-    return ev.join(R.bounded_broadcast(c), "user_id", "inner")
+    return ev.join(c, "user_id", "inner")
 
 
 @register("jo8_reject_unknown", """

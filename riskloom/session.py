@@ -48,14 +48,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, configuring a scratch one only if unset.
 
-    The cluster's shared folder (``spark.checkpoint.dir``) always wins; a
-    machine-local temp folder is used only when nothing is configured (tests).
+    The cluster's shared folder (``spark.checkpoint.dir``) always wins.  Only a
+    session whose executors run in this process (a local master) may fall back to
+    a machine-local temp folder; on a cluster each executor would write to its
+    own disk, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
@@ -84,3 +88,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint directory for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that no later step reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """At least one partition per core for CPU-heavy steps.  Only an input of
+    fewer partitions is dealt anew; a large one keeps the partitions its size
+    gave it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

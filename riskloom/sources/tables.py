@@ -86,14 +86,15 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
 
 
 # IO-5 -----------------------------------------------------------------------
-def predictions_frame(df: DataFrame, key: str, prob: str, tier: str, explanation: str | None = None,
+def predictions_frame(df: DataFrame, key: str, probs: Mapping[str, str], tier: str, explanation: str | None = None,
                       model_version: str = "v1.0", top: int = 10) -> DataFrame:
-    """Rows of the declared predictions table: version default, JSON top-n
+    """Rows of the declared predictions table: each model's probability and the
+    blend (``probs``: table column -> column of ``df``), version default, JSON top-n
     explanation, predicted_at = now."""
     expl = (F.to_json(F.slice(F.col(explanation), 1, top)) if explanation else F.lit(None).cast("string"))
     return df.select(
-        F.col(key).alias("patient_id"), F.col(prob).alias("risk_score"), F.col(tier).alias("risk_tier"),
-        F.lit(model_version).alias("model_version"), expl.alias("shap_top10"),
+        F.col(key).alias("patient_id"), *[F.col(c).alias(name) for name, c in probs.items()],
+        F.col(tier).alias("risk_tier"), F.lit(model_version).alias("model_version"), expl.alias("shap_top10"),
         F.current_timestamp().alias("predicted_at"))
 
 
@@ -102,6 +103,16 @@ def predictions_sink(df: DataFrame, path: str, **kw) -> str:
     return path
 
 
+def predictions_stream_sink(stream: DataFrame, path: str, checkpoint: str, **kw):
+    """The same rows from a stream: each micro-batch overwrites its own
+    ``batch_id`` partition, so a replayed batch adds nothing."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        predictions_frame(batch, **kw).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 # IO-6 -----------------------------------------------------------------------
 RUN_METRICS_SCHEMA = "run_id string, kind string, key string, value string, ts timestamp"
 

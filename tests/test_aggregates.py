@@ -59,7 +59,7 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rnd.integers(0, 50, 500).astype(float), rnd.normal(size=300)])
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,), (float("nan"),)], "v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs, n_ranges=5).collect()}
+    got = {r["prob"]: r["value"] for r in exact_quantiles(df, {"v": F.col("v")}, probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
 
