@@ -52,6 +52,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def numbered(docs: DataFrame, scratch: Scratch, **more: Column) -> DataFrame:
+    """The documents, written once: ``_doc`` (all their columns, whatever the
+    names), a generated number ``_m`` and further columns."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return scratch.cut(docs.select(doc.alias("_doc"), F.monotonically_increasing_id().alias("_m"),
+                                   *[c.alias(k) for k, c in more.items()]), "numbered")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, at most some ten thousand, over as many tasks as there are cores."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -82,17 +82,13 @@ def _digest(batches, min_chars: int):
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_lines": n, "n_dropped": gone, "kept_sha256": sha})
 
 
-def _strip(batches, min_chars: int):
-    for pdf in batches:
-        out = []
-        for text, drop in zip(pdf["text"], pdf["drop"], strict=True):
-            if text and drop is not None and len(drop):
-                lines, keys = _keys(text)
-                drop = set(map(int, drop))
-                text = b"\n".join(x for x, k in zip(lines, keys, strict=True)
-                                  if not (_counts(k, min_chars) and _halves(k)[0] in drop)).decode("utf-8", "surrogatepass")
-            out.append(text)
-        yield pdf.assign(text=out).drop(columns="drop")
+def _kept_text(text: str | None, drop, min_chars: int) -> str | None:
+    if not text or drop is None or not len(drop):
+        return text
+    lines, keys = _keys(text)
+    drop = set(map(int, drop))
+    kept = [x for x, k in zip(lines, keys, strict=True) if not (_counts(k, min_chars) and _halves(k)[0] in drop)]
+    return b"\n".join(kept).decode("utf-8", "surrogatepass")
 
 
 class LineRuns:
@@ -172,22 +168,28 @@ def dropped_lines(docs: DataFrame, scratch: C.Scratch, n_batches: int = N_BATCHE
     return lost.groupBy("_d").agg(F.collect_set("h1").alias("drop"))
 
 
-def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
+def _with_drops(docs: DataFrame, drops: DataFrame, *columns) -> DataFrame:
     d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    return docs.withColumn("_d", d).join(drops.hint("shuffle_hash"), "_d", "left").drop("_d")
+    return docs.select(d.alias("_d"), "text", *columns).join(drops.hint("shuffle_hash"), "_d", "left").drop("_d")
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataFrame:
     """The documents without the lines that a smaller doc_id holds."""
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, drop: pd.Series) -> pd.Series:
+        return pd.Series([_kept_text(t, d, min_chars) for t, d in zip(text, drop, strict=True)], dtype=object)
+
     scratch = C.Scratch(docs.sparkSession, "lines")
-    out = _with_drops(docs, dropped_lines(docs, scratch, **options))
-    return out.mapInPandas(lambda it: _strip(it, options.get("min_chars", MIN_CHARS)), docs.schema)
+    drops = dropped_lines(docs, scratch, min_chars=min_chars, **options)
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    out = _with_drops(docs, drops, doc)
+    return out.select(F.col("_doc").withField("text", kept("text", "drop")).alias("_doc")).select("_doc.*")
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     drops = dropped_lines(docs, C.Scratch(spark, "lines"))
-    return _with_drops(docs, drops).mapInPandas(lambda it: _digest(it, MIN_CHARS),
+    return _with_drops(docs, drops, "doc_id").mapInPandas(lambda it: _digest(it, MIN_CHARS),
                                                 "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 

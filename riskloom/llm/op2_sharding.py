@@ -13,7 +13,7 @@ and the parts' counts give the offsets.
 Defined results: a null source is a stratum of its own; null text counts no
 bytes; repeated rows are rows like any other (which of two equal rows gets which
 slot cannot be told apart); an empty table gives an empty result; other columns
-are passed through, whatever their names.
+are passed through, but for columns named shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -71,13 +71,10 @@ def shard_documents(docs: DataFrame, n_shards: int, seed: int = SEED) -> DataFra
     hashes are placed, and the place is joined back, so texts move once.
     """
     scratch = C.Scratch(docs.sparkSession, "sharding")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.struct(*cols).alias("_doc"), F.monotonically_increasing_id().alias("_id"),
-                        F.xxhash64("doc_id", "text").alias("_k"), C.group_key("source").alias("_src"))
-    keyed = scratch.cut(keyed, "keyed")
-    slim = keyed.select("_k", "_id", "_src")
-    out = interleave(slim, F.col("_src"), [F.col("_k")], n_shards, scratch, seed)
-    return keyed.select("_doc", "_id").join(out.select("_id", "shard", "slot"), "_id").select("_doc.*", "shard", "slot")
+    docs = docs.drop("shard", "slot")
+    keyed = C.numbered(docs, scratch, _k=F.xxhash64("doc_id", "text"), _src=C.group_key("source"))
+    out = interleave(keyed.select("_k", "_m", "_src"), F.col("_src"), [F.col("_k")], n_shards, scratch, seed)
+    return keyed.select("_doc", "_m").join(out.select("_m", "shard", "slot"), "_m").select("_doc.*", "shard", "slot")
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

@@ -345,12 +345,12 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: that of the smallest doc_id."""
     scratch = C.Scratch(docs.sparkSession, "minhash")
-    keyed = scratch.cut(docs.withColumn("_m", F.monotonically_increasing_id()), "keyed")
-    groups = near_duplicates(keyed.select(F.col("_m").alias("id"), "text"), scratch)
-    first = (groups.select(F.col("id").alias("_m"), F.col("component_id").alias("_c")).join(keyed.select("_m", "doc_id"), "_m")
+    keyed = C.numbered(docs, scratch)
+    groups = near_duplicates(keyed.select(F.col("_m").alias("id"), "_doc.text"), scratch)
+    first = (groups.select(F.col("id").alias("_m"), F.col("component_id").alias("_c")).join(keyed.select("_m", "_doc.doc_id"), "_m")
              .groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_m")).alias("k")))
     keep = scratch.cut(first.select(F.col("k._m").alias("_m")), "keep")
-    return keyed.join(keep, "_m").drop("_m")
+    return keyed.join(keep, "_m").select("_doc.*")
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:

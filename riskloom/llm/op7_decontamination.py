@@ -280,9 +280,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
     scratch = C.Scratch(docs.sparkSession, "decontamination")
-    keyed = scratch.cut(docs.withColumn("_m", F.monotonically_increasing_id()), "keyed")
-    bad = scratch.cut(matches(keyed, benchmark, "_m").select("_m").distinct(), "bad")
-    return keyed.join(bad, "_m", "left_anti").drop("_m")
+    keyed = C.numbered(docs, scratch)
+    bad = scratch.cut(matches(keyed.select("_m", "_doc.text"), benchmark, "_m").select("_m").distinct(), "bad")
+    return keyed.join(bad, "_m", "left_anti").select("_doc.*")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -247,11 +247,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     moves once, to be joined with them.
     """
     scratch = C.Scratch(docs.sparkSession, "mixing")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.struct(*cols).alias("_doc"), F.monotonically_increasing_id().alias("_id"),
-                        F.xxhash64(F.col("doc_id"), F.col("text")).alias("_k"),
-                        C.group_key("source").alias("_s"), word_count(F.col("text")).alias("size"))
-    keyed = scratch.cut(keyed, "keyed")
+    keyed = C.numbered(docs, scratch, _k=F.xxhash64("doc_id", "text"), _s=C.group_key("source"), size=word_count(F.col("text")))
+    keyed = keyed.withColumnRenamed("_m", "_id")
     m = mix(keyed.select("_id", "_k", "_s", "size"), scratch, **options)
     per = m.pieces.groupBy("_id").agg(F.collect_list(F.struct("in_block", "lo", "hi", "cuts")).alias("pieces"))
     cols = docs.columns
