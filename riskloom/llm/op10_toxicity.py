@@ -305,11 +305,11 @@ def score_documents(docs: DataFrame, lex: Lexicon) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, lex: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold."""
-    def kept(batches):
-        for pdf in batches:
-            yield pdf[score(pdf["text"], lex) < threshold]
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(score(text, lex))
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.where(scored("text") < F.lit(threshold))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
