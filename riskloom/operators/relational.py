@@ -174,6 +174,13 @@ def overlay(payload: DataFrame, table: DataFrame, cols: Sequence[str], mode: str
     raise ValueError("mode must be 'row' or 'median'")
 
 
+def attach_scores(rows: DataFrame, scores: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """PR-6: every row with the columns of its scores, which replace columns of
+    the same name; rows without a score keep NULLs."""
+    keys = {on} if isinstance(on, str) else set(on)
+    return rows.drop(*[c for c in scores.columns if c not in keys]).join(scores, on, "left")
+
+
 def select_keys(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """JO-5: rows whose key appears in ``keys`` (left semi join)."""
     return df.join(keys, on, "left_semi")

@@ -184,8 +184,7 @@ def q_attach_scores(spark, d):
     """Scores and tier appended to the original admission rows."""
     feats, ma, mb = fitted(spark, d)
     scores = G.ensemble(ma, mb, feats).select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier")
-    adm = admissions(spark, d).drop("risk_tier")
-    return adm.join(scores, "admission_id", "left")
+    return R.attach_scores(admissions(spark, d), scores, "admission_id")
 
 
 def score_table(spark: SparkSession, payload: DataFrame, base: DataFrame, ma, mb, top_n: int = 10) -> DataFrame:

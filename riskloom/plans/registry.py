@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import io, missing, models, scalars, streams, surface
+from riskloom.plans import fixed_models, io, missing, models, scalars, streams, surface
 
-_MODULES = (surface, scalars, io, streams, models, missing)
+_MODULES = (surface, scalars, io, streams, models, missing, fixed_models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
