@@ -6,15 +6,17 @@ Documents with equal shingle sets are one class.  A class's signature has
 The prefix is as deep as the region asks for: it starts at ``MIN_DEPTH`` values,
 and where more than ``REGION`` classes share it, one value more is asked of them,
 and so on; regions that differ only in their tree are merged.  What still shares
-all values in a crowd is split into blocks that are joined through a hub, and
-members that stay apart from the hub are compared with the others afterwards.
+all values in a crowd is split into blocks that are joined through a hub.
 
 Inside a region signatures estimate the similarity of all pairs, in one small
 task.  First a spanning forest of the likely pairs is confirmed on the full
-shingle sets, then the likely pairs that are still in different components; pairs
-within one component need no check, as only what is connected is asked.  Signatures
-rule out a pair only below ``LIKELY``, some four standard errors under the
-threshold.
+shingle sets.  Then every region that still has a likely pair between different
+components gets its members' sets, compares all of them at once (a product of the
+incidence matrix with itself) and returns a spanning forest of the links it finds;
+a crowd's members outside its main component meet all its blocks there.  Pairs
+within one component need no check, as only what is connected is asked, and no
+step writes out all pairs of a region.  Signatures rule out a pair only below
+``LIKELY``, some four standard errors under the threshold.
 
 Defined results: null text, or one without words, has an empty set and links
 with nothing; with fewer than five words the whole sequence is the one shingle;
@@ -177,37 +179,75 @@ def _forest(n: int, a, b, est) -> list[int]:
 
 
 def _first_pairs(batches):
-    yield from _pairs(batches, False)
-
-
-def _rest_pairs(batches):
-    yield from _pairs(batches, True)
-
-
-def _pairs(batches, rest: bool):
-    """Spanning forest of a region's likely pairs; or, with ``rest``, the likely
-    pairs outside it whose ends are in different components."""
-    out = []
+    """Spanning forest of each region's likely pairs."""
+    out, size = [], 0
     for g in _by_region(batches):
         if len(g) < 2:
             continue
         g = g.sort_values("cid")
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
         a, b, est = likely_pairs(sig, g["n"].to_numpy())
-        if not len(a):
-            continue
-        keep = np.zeros(len(a), bool)
-        keep[_forest(len(g), a, b, est)] = True
-        if rest:
-            comp = g["comp"].to_numpy()
-            keep = ~keep & (comp[a] != comp[b])
-        cid = g["cid"].to_numpy()
-        out.append((cid[a[keep]], cid[b[keep]]))
-        if sum(len(x) for x, _ in out) > 100_000:
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
-            out = []
+        keep = _forest(len(g), a, b, est)
+        if keep:
+            cid = g["cid"].to_numpy()
+            out.append(pd.DataFrame({"a": cid[a[keep]], "b": cid[b[keep]]}))
+            size += len(keep)
+        if size > 100_000:
+            yield pd.concat(out)
+            out, size = [], 0
     if out:
-        yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+        yield pd.concat(out)
+
+
+def _unsettled(batches):
+    """(region, cid, comp) of the members in a likely pair between components."""
+    for g in _by_region(batches):
+        if len(g) < 2:
+            continue
+        sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
+        a, b, _ = likely_pairs(sig, g["n"].to_numpy())
+        comp = g["comp"].to_numpy()
+        apart = comp[a] != comp[b]
+        at = np.unique(np.concatenate([a[apart], b[apart]]))
+        if len(at):
+            yield g.iloc[at][["region", "cid", "comp"]]
+
+
+def _settle(batches):
+    """Spanning forest of the links between components, from the full sets of a
+    region's members."""
+    for g in _by_region(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in g["s"]]
+        n = np.array([len(x) for x in sets])
+        both = common_counts(sets)
+        cid, comp = g["cid"].to_numpy(), g["comp"].to_numpy()
+        a, b = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :]))
+        if len(a):
+            names, at = np.unique(comp, return_inverse=True)
+            keep = _forest(len(names), at[a], at[b], np.zeros(len(a)))
+            yield pd.DataFrame({"a": cid[a[keep]], "b": cid[b[keep]]})
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections, by products of slices of the incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    if not len(owner):
+        return both
+    values, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(held > 1) - 1  # a shingle of one set adds nothing to a pair
+    use = held[at] > 1
+    owner, at = owner[use], shared[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    total = int(at[-1]) + 1 if len(at) else 0
+    for lo in range(0, total, columns):
+        i, j = np.searchsorted(at, [lo, lo + columns])
+        m = np.zeros((len(sets), min(columns, total - lo)), dtype=np.float32)
+        m[owner[i:j], at[i:j] - lo] = 1
+        both += (m @ m.T).astype(np.int64)
+    np.fill_diagonal(both, [len(x) for x in sets])
+    return both
 
 
 def _sets(batches):
@@ -272,26 +312,23 @@ def _crowd_hubs(crowd: DataFrame) -> DataFrame:
     return crowd.join(hubs, "crowd").where("a < cid").select("a", F.col("cid").alias("b"))
 
 
-def _crowd_rest(crowd: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a crowd's members that are in other components than its hub with
-    all other members, where their signatures make the pair likely."""
+def _crowd_regions(crowd: DataFrame, comp: DataFrame) -> DataFrame:
+    """(region, cid): in a crowd every block of members outside the main component
+    together with every block of all members, half a region each."""
+    half = REGION // 2
     of = crowd.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    hub = of.groupBy("crowd").agg(F.min_by("comp", "cid").alias("hub"))
-    of = of.join(hub, "crowd").join(classes.select("cid", "n", "sig"), "cid")
-    apart = of.where("comp <> hub").select("crowd", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"),
-                                           F.col("sig").alias("sa"))
-    pairs = apart.join(of.select("crowd", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"),
-                                 F.col("sig").alias("sb")), "crowd").where("ca <> cb")
-
-    def likely(batches):
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("sa", "sb"))
-                low, high = np.minimum(pdf["na"], pdf["nb"]), np.maximum(pdf["na"], pdf["nb"])
-                ok = ((x == y).mean(axis=1) >= LIKELY) & (100 * low >= PERCENT * high).to_numpy()
-                yield pd.DataFrame({"a": np.minimum(pdf["a"], pdf["b"])[ok], "b": np.maximum(pdf["a"], pdf["b"])[ok]})
-
-    return pairs.mapInPandas(likely, "a long, b long")
+    per = of.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("crowd").agg(
+        F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
+    per = (per.where(F.col("all") > F.col("top")).select(
+        "crowd", "main", F.ceil(F.col("all") / half).cast("long").alias("blocks"),
+        F.ceil((F.col("all") - F.col("top")) / half).cast("long").alias("apart")))
+    of = of.join(per, "crowd")
+    h = F.xxhash64(F.lit(7), "cid")
+    every = of.withColumn("j", F.pmod(h, "blocks")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("apart") - 1)))
+    some = (of.where("comp <> main").withColumn("i", F.pmod(h, "apart"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    region = F.xxhash64("crowd", "i", "j").alias("region")
+    return every.select(region, "cid").unionByName(some.select(region, "cid")).distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -321,14 +358,18 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     links = scratch.cut(_confirmed(first, sets), "links1")
     comp = C.components(links, scratch, "cc1")
 
-    labelled = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    split = (labelled.groupBy("region").agg((F.min("comp") < F.max("comp")).alias("split")).where("split").select("region"))
-    rest = (labelled.join(split, "region").select("region", "cid", "n", "sig", "comp").repartition(width, "region")
-            .sortWithinPartitions("region").mapInPandas(_rest_pairs, "a long, b long"))
+    member = members.select("region", "cid")
     if crowd is not None:
-        rest = rest.unionByName(_crowd_rest(crowd, comp, classes))
-    more = scratch.cut(_confirmed(rest, sets), "links2")
-    scratch.drop("members", "sets", "first", *[f"depth{d}" for d in range(MIN_DEPTH, DEPTH + 1)])
+        member = member.unionByName(_crowd_regions(crowd, comp))
+    labelled = member.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    split = labelled.groupBy("region").agg((F.min("comp") < F.max("comp")).alias("split")).where("split").select("region")
+    labelled = labelled.join(split, "region").select("region", "cid", "comp").join(classes.select("cid", "n", "sig"), "cid")
+    unsettled = scratch.cut(labelled.repartition(width, "region").sortWithinPartitions("region").mapInPandas(
+        _unsettled, "region long, cid long, comp long"), "unsettled")
+    more = (unsettled.join(sets, "cid").repartition(width, "region").sortWithinPartitions("region")
+            .mapInPandas(_settle, "a long, b long"))
+    more = scratch.cut(more, "links2")
+    scratch.drop("members", "sets", "first", "unsettled", *[f"depth{d}" for d in range(MIN_DEPTH, DEPTH + 1)])
     if more.limit(1).count():
         # What was connected, as stars, and the links between.
         comp = C.components(more.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch, "cc2")
