@@ -75,10 +75,10 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     return out.drop(*drop)
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
-                    accuracy: int = 10000) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: str | dict[str, Column], probs: Sequence[float],
+                    n_ranges: int | None = None, accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles (numpy / pandas / DuckDB ``quantile_cont``) of
-    several columns: one row per (column, prob index) with ``column, q_index,
+    a column, or of several by name: one row per (column, prob index) with ``column, q_index,
     prob, value``.  NULL and NaN are skipped; a column without values has no rows.
 
     One pass brackets every quantile by approximate ones that are sure to enclose
@@ -86,6 +86,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     inside, about 4 / ``accuracy`` of the rows per quantile, are grouped and
     ranked.  The driver sees a few numbers per column and quantile.
     """
+    columns = {columns: F.col(columns)} if isinstance(columns, str) else columns
     spark, names = df.sparkSession, list(columns)
     v = df.select(*[F.nanvl(columns[c].cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
     sides = [x for p in probs for x in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
@@ -104,7 +105,7 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[f
     inside = F.filter(F.array(*[F.when(F.col(f"v{i}").between(low, high), F.struct(F.lit(j).alias("j"), F.col(f"v{i}").alias("x")))
                                 for j, (i, _, _, low, high, _) in enumerate(ask)]), lambda s: s.isNotNull())
     counts = v.select(F.explode(inside).alias("s")).groupBy("s.j", "s.x").agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = running_totals(counts, "x", ["_cnt"], partition_cols=["j"])
+    ranked = running_totals(counts, "x", ["_cnt"], partition_cols=["j"], n_ranges=n_ranges)
     table = spark.createDataFrame([(j, names[a[0]], a[1], a[2], below[f"c{j}"], a[5]) for j, a in enumerate(ask)],
                                   "j int, column string, q_index int, prob double, below long, h double")
     r = ranked.join(table, "j")

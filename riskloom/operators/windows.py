@@ -93,15 +93,15 @@ def relative_band(df: DataFrame, value: str, out: str = "band",
 
 # WI-6 -----------------------------------------------------------------------
 def return_within(df: DataFrame, key: str, ts: str, row_id: str, days: int = 30,
-                  out: str = "label", slice_seconds: int = 600) -> DataFrame:
+                  out: str = "label", bucket_days: float = 1 / 144) -> DataFrame:
     """1 if the key's next row (by ts, row_id) falls within ``days`` calendar days.
 
-    Skew-safe lead: a key's rows are cut into slices of a few minutes of its
-    timeline; the lead runs in a slice, and the last row of a slice takes the
+    Skew-safe lead: a key's rows are cut into slices of ``bucket_days`` (ten
+    minutes) of its timeline; the lead runs in a slice, and the last row of a slice takes the
     first timestamp of the key's next non-empty slice, found on the per-slice
     summary (one row per slice, however many rows it holds).
     """
-    slice_ = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(slice_seconds))
+    slice_ = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(86_400.0 * bucket_days))
     x = df.withColumn("_b", slice_)
     w = Window.partitionBy(key, "_b").orderBy(F.col(ts), F.col(row_id))
     x = x.withColumn("_next_in", F.lead(ts).over(w))
