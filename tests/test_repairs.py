@@ -35,6 +35,18 @@ def test_a_timeout_raises_and_no_limit_drains(spark):
     assert spark.read.parquet(f"{base}/out2").count() == ev.count()
 
 
+def test_a_compacted_log_gives_the_same_snapshot(spark):
+    base = scratch_path(spark, f"log-{uuid.uuid4().hex[:8]}")
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("user_id", "event_id", "value")
+    for b in range(3):
+        ev.where(F.col("event_id") % 3 == b).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max("value").alias("value")) \
+            .write.parquet(f"{base}/log/batch_id={b}")
+    want = sorted(map(tuple, M.latest_snapshot(spark.read.parquet(f"{base}/log"), "user_id").collect()))
+    old = M.compact_log(spark, f"{base}/log", f"{base}/compact", "user_id")
+    again = M.latest_snapshot(old.unionByName(spark.read.parquet(f"{base}/log").where("batch_id = 2")), "user_id")
+    assert sorted(map(tuple, again.collect())) == want and old.count() == len(want)
+
+
 def test_vocabulary_has_no_cap(spark):
     df = spark.range(1500).select(F.col("id"), F.concat(F.lit("v"), F.col("id")).alias("c"))
     assert len(FE.learn_vocabulary(df, ["c"])["c"]) == 1500
