@@ -45,6 +45,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def keep_only(self, *tables: str) -> None:
+        """Remove all tables but those that a lazily read result still needs."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        base = jvm.org.apache.hadoop.fs.Path(self.base)
+        names = [f.getPath().getName() for f in base.getFileSystem(conf).listStatus(base)]
+        self.drop(*[n for n in names if n not in tables])
+
     def drop(self, *tables: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
@@ -76,6 +83,16 @@ def unit(h: Column) -> Column:
     return F.least(h.cast("double") / F.lit(2.0**64) + F.lit(0.5), F.lit(1.0 - 2.0**-53))
 
 
+def hash_sample(df: DataFrame, h: Column, limit: int, n_rows: int) -> DataFrame:
+    """At most ``limit`` of ``n_rows`` rows, the first by a 64-bit hash.
+
+    The hash's range is cut down first, so that a task keeps its share of the
+    sample and not up to ``limit`` rows of its own."""
+    if n_rows > limit:
+        df = df.where(unit(h) < F.lit(min(1.0, (1.1 * limit + 200) / n_rows)))
+    return df.withColumn("_order", h).orderBy("_order", *df.columns[:1]).limit(limit).drop("_order")
+
+
 def parts_for(n_rows: int) -> int:
     """Into how many parts a group is split, from the size of the whole table."""
     return max(MIN_PARTS, -(-n_rows // SPLIT_ROWS))

@@ -105,8 +105,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     equal texts one."""
     y = F.col(label).cast("int")
     some = (labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
-            .select(F.col("doc_id").alias("_id"), y.alias("y"))
-            .orderBy(F.xxhash64("_id"), "_id", "y").limit(limit))
+            .select(F.col("doc_id").alias("_id"), y.alias("y")))
+    some = C.hash_sample(some, F.xxhash64("_id", "y"), limit, some.count())
     # At most ``limit`` rows of 12 bytes.
     return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "y").dropDuplicates()
 
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = M
             yield pd.DataFrame({**{c: f[:, k] for k, c in enumerate("abcd")}, "y": pdf["y"].astype("int32")})
 
     rows = C.spread(sample).mapInPandas(measured, "a double, b double, c double, d double, y int")
-    rows = rows.orderBy(*"abcdy").toPandas()  # at most ``limit`` rows
+    rows = rows.toPandas().sort_values(list("abcdy"))  # at most ``limit`` rows
     if rows["y"].nunique() == 2:
         lex.coef = tuple(logistic_fit(rows[list("abcd")].to_numpy(), rows["y"].to_numpy(float), ridge=0.1).tolist())
         lex.fitted = True

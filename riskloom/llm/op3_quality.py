@@ -148,7 +148,7 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", shrinkag
     if moments[:, 0].min() < 2:
         return None
     model = Model(moments, shrinkage)
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MAX_CALIBRATION).select("x", "y").toPandas()
+    some = C.hash_sample(rows, F.xxhash64("doc_id", "y"), MAX_CALIBRATION, int(moments[:, 0].sum())).select("x", "y").toPandas()
     x, t = np.array(some["x"].tolist(), dtype=float), some["y"].to_numpy(float)
     if len(set(t)) == 2:
         a, b = logistic_fit(model.inputs(x)[:, None], t, ridge=0.1)
