@@ -2,7 +2,7 @@
 
 Equal vectors are one class, compared once and counted by their number.  Classes
 are put into the cell of their nearest pivot (pivots are a bounded sample) and
-cells into tiles of about ``TILE_ROWS``.  A tile meets the tiles of those cells
+cells into tiles of about ``TILE_BYTES``.  A tile meets the tiles of those cells
 where the hyperplane bound lets one of its vectors have a partner; the bound is
 exact, so no pair is lost, and where it prunes nothing all tiles meet.
 
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from riskloom.llm import common as C
 
 THRESHOLD = 0.95
-TILE_ROWS = 4096
+#: Size of a tile's vectors; the shuffle falls, and a task's memory grows, with it.
+TILE_BYTES = 4 << 20
 #: Pivots are collected and sent to all tasks: at most so many vectors.
 MAX_PIVOTS = 1024
 _BLOCK = 1024
@@ -48,13 +49,15 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
-def _cells(batches, pivots: dict[int, np.ndarray], reach: float):
-    """Cell of each class and the cells where a partner may be."""
+def _cells(batches, pivots: dict[int, np.ndarray], reach: float, kind: str):
+    """Cell of each class and the cells where a partner may be; the vector as
+    bytes of its own precision."""
     for pdf in batches:
         parts = []
         for d, idx in pdf.groupby("d").indices.items():
             p = pdf.iloc[idx]
-            u, piv = unit_rows(np.array(p["embedding"].tolist(), dtype=np.float64).reshape(len(p), d)), pivots[d]
+            v = np.array(p["embedding"].tolist(), dtype=np.float64).reshape(len(p), d)
+            u, piv = unit_rows(v), pivots[d]
             dot = u @ piv.T
             own = dot.argmax(axis=1)
             # Distance from the plane between the own and another pivot; beyond it nothing within reach.
@@ -64,7 +67,7 @@ def _cells(batches, pivots: dict[int, np.ndarray], reach: float):
             near[np.arange(len(u)), own] = True
             parts.append(pd.DataFrame({"cid": p["cid"].to_numpy(), "n": p["n"].to_numpy(), "d": d, "cell": own,
                                        "near": [np.flatnonzero(r) for r in near],
-                                       "v": [r.tobytes() for r in np.array(p["embedding"].tolist(), dtype=np.float64).reshape(len(p), d)]}))
+                                       "v": [r.tobytes() for r in v.astype(kind)]}))
         if parts:
             yield pd.concat(parts)
 
@@ -123,30 +126,27 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         f = g
 
 
-def _compare(batches, threshold: float):
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            ids, sizes = np.frombuffer(r.cids, np.int64), np.frombuffer(r.sizes, np.int64)
-            x = np.frombuffer(r.vecs, np.float64).reshape(len(ids), r.d)
-            if r.tile == r.tile2 and r.cell == r.cell2:
-                a, b = tile_links(x, None, threshold)
-            else:
-                ids2 = np.frombuffer(r.cids2, np.int64)
-                a, b = tile_links(x, np.frombuffer(r.vecs2, np.float64).reshape(len(ids2), r.d), threshold)
-                b = b + len(ids)
-                ids = np.concatenate([ids, ids2])
-                sizes = np.concatenate([sizes, np.frombuffer(r.sizes2, np.int64)])
-            if not len(a):
-                continue
-            links = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
-            hit = links > 0
-            yield pd.DataFrame({"cid": ids[hit], "other": ids[_smallest(len(ids), a, b)][hit], "links": links[hit].astype(np.int64)})
+def _compare(pdf: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
+    """Links of a pair of tiles (its one or two rows): per vector their number and
+    the first vector that they connect it with."""
+    pdf = pdf.sort_values("side")
+    ids = [np.frombuffer(x, np.int64) for x in pdf["cids"]]
+    vecs = [np.frombuffer(x, kind).reshape(len(i), -1) for x, i in zip(pdf["vecs"], ids, strict=True)]
+    a, b = tile_links(vecs[0], vecs[1] if len(vecs) > 1 else None, threshold)
+    if len(vecs) > 1:
+        b = b + len(ids[0])
+    ids, sizes = np.concatenate(ids), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sizes"]])
+    links = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
+    hit = links > 0
+    return pd.DataFrame({"cid": ids[hit], "other": ids[_smallest(len(ids), a, b)][hit], "links": links[hit].astype(np.int64)})
 
 
 def links_and_components(vectors: DataFrame, scratch: C.Scratch, threshold: float = THRESHOLD,
-                         tile_rows: int = TILE_ROWS) -> DataFrame:
+                         tile_rows: int | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id."""
     spark = vectors.sparkSession
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    kind = "f4" if element == "float" else "f8"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = (F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
             & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -160,26 +160,32 @@ def links_and_components(vectors: DataFrame, scratch: C.Scratch, threshold: floa
     per_dim = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = spark.createDataFrame([], "cid long, other long, links long")
     if per_dim:
-        pivots = {}
+        pivots, rows = {}, {}
         for d, n in per_dim.items():
-            want = max(1, min(MAX_PIVOTS, n // tile_rows))
-            some = classes.where(F.col("d") == d).orderBy("cid", "k2").limit(want).select("embedding").collect()
+            rows[d] = tile_rows or max(256, TILE_BYTES // (int(kind[1]) * d))
+            want = max(1, min(MAX_PIVOTS, n // rows[d]))
+            some = C.hash_sample(classes.where(F.col("d") == d), F.col("cid"), want, n).select("embedding").collect()
             pivots[d] = np.unique(unit_rows(np.array([r[0] for r in some], dtype=np.float64)), axis=0)
         reach = float(np.sqrt(2 - 2 * threshold))
         at = scratch.cut(classes.select("cid", "n", "d", "embedding").mapInPandas(
-            lambda it: _cells(it, pivots, reach), "cid long, n long, d int, cell int, near array<int>, v binary"), "cells")
-        sizes = at.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("long").alias("tiles"))
+            lambda it: _cells(it, pivots, reach, kind), "cid long, n long, d int, cell int, near array<int>, v binary"), "cells")
+        sizes = at.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("held"))
+        per_tile = F.element_at(F.create_map(*[F.lit(x) for item in rows.items() for x in item]), F.col("d"))
+        sizes = sizes.select("d", "cell", F.ceil(F.col("held") / per_tile).cast("long").alias("tiles"))
         at = at.join(F.broadcast(sizes), ["d", "cell"])  # at most MAX_PIVOTS rows per dimension
         tiles = scratch.cut(at.withColumn("tile", F.pmod("cid", "tiles")).groupBy("d", "cell", "tile").applyInPandas(
             _pack, "d int, cell int, tile long, near array<int>, cids binary, sizes binary, vecs binary"), "tiles")
         one = tiles.select("d", "cell", "tile", F.explode("near").alias("cell2"))
         two = tiles.select("d", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"))
         pairs = scratch.cut(one.join(two, ["d", "cell2"]).where("cell < cell2 OR (cell = cell2 AND tile <= tile2)"), "pairs")
-        other = tiles.select("d", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"),
-                             *[F.col(c).alias(c + "2") for c in ("cids", "sizes", "vecs")])
-        work = pairs.join(tiles.drop("near"), ["d", "cell", "tile"]).join(other, ["d", "cell2", "tile2"])
-        work = work.repartition(max(1, min(pairs.count(), 1 << 20)), "d", "cell", "tile", "cell2", "tile2")
-        found = scratch.cut(work.mapInPandas(lambda it: _compare(it, threshold), "cid long, other long, links long"), "found")
+        # Each tile goes once to each of its pairs.
+        pair, data = ["d", "cell", "tile", "cell2", "tile2"], ["cids", "sizes", "vecs"]
+        one = pairs.join(tiles, ["d", "cell", "tile"]).select(*pair, F.lit(0).alias("side"), *data)
+        other = tiles.select("d", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), *data)
+        two = (pairs.where("cell <> cell2 OR tile <> tile2").join(other, ["d", "cell2", "tile2"])
+               .select(*pair, F.lit(1).alias("side"), *data))
+        work = one.unionByName(two).groupBy(*pair)
+        found = scratch.cut(work.applyInPandas(lambda pdf: _compare(pdf, threshold, kind), "cid long, other long, links long"), "found")
         scratch.drop("cells", "tiles", "pairs")
     comp = C.components(found.select(F.col("cid").alias("a"), F.col("other").alias("b")), scratch)
     per_class = (classes.select("cid", "k2", "rep", "n")
@@ -197,3 +203,17 @@ def links_and_components(vectors: DataFrame, scratch: C.Scratch, threshold: floa
 def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     out = links_and_components(C.table(spark, sf_dir, "embeddings"), C.Scratch(spark, "embeddings"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b
+         ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+"""
