@@ -45,6 +45,7 @@ def interleave(rows: DataFrame, stratum: Column, identity: list[Column], n_shard
     ranked = C.running(slim.withColumn("_p", F.floor(C.unit(F.col("_h")) * parts)), "_s", "_p", ties, None, "_r", "_n")
     phase = C.unit(F.xxhash64(F.lit(seed + 1), F.col("_s")))
     ranked = scratch.cut(ranked.select("_row", "_h", "_s", ((F.col("_r") + phase) / F.col("_n")).alias("_x")), "ranked")
+    scratch.drop("shuffled")
     placed = C.running(ranked.withColumn("_p", F.floor(F.col("_x") * parts)), None, "_p", ["_x", "_s", *ties], None,
                        "_i", "_all")
     shard = F.expr(f"(_i * {n_shards}L) div {n}L")

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -49,7 +50,9 @@ MIN_PART = 0.5
 LIGHT = 0.25
 PASSAGE_STRIDE = 64
 BLOCK_ITEMS = 4
-MAX_SHARD_BYTES = 2 << 20
+MAX_SHARD_BYTES = 16 << 20
+#: Characters of text that a task matches at a time.
+CHUNK_CHARS = 1_000_000
 
 _WORD = re.compile(C.WORD_CLASS)
 
@@ -105,47 +108,60 @@ class Index:
             total = sum(imp.values())
             for t, x in imp.items():
                 post[self.terms[t]].append((i, x / total))
-        self.items = [[i for i, _ in p] for p in post]  # ascending
-        self.impact = [[x for _, x in p] for p in post]
-        # Block maxima per term: of all impacts, and of those that are not light in their item.
-        self.block_max: list[dict[int, float]] = [{} for _ in post]
-        heavy: list[dict[int, float]] = [{} for _ in post]
-        per_item: list[list[tuple[float, int]]] = [[] for _ in items]
-        for t, p in enumerate(post):
-            for i, x in p:
-                blk = i // BLOCK_ITEMS
-                self.block_max[t][blk] = max(self.block_max[t].get(blk, 0.0), x)
-                per_item[i].append((x, t))
-        for i, terms in enumerate(per_item):
-            total, blk = 0.0, i // BLOCK_ITEMS
-            for x, t in sorted(terms):  # the lightest terms come first
-                total += x
-                if total >= LIGHT:
-                    heavy[t][blk] = max(heavy[t].get(blk, 0.0), x)
-        size = [len(h) for h in heavy]
-        self.heavy_at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.heavy_block = np.array([b for h in heavy for b in h], dtype=np.int64)
-        self.heavy_max = np.array([x for h in heavy for x in h.values()], dtype=float)
-        self.n_blocks = len(items) // BLOCK_ITEMS + 1
+        # Postings term by term, items ascending: term t has the places at[t] to at[t + 1].
+        self.at = array("q", np.concatenate([[0], np.cumsum([len(p) for p in post])]).astype(np.int64).tobytes())
+        self.items = array("i", [i for p in post for i, _ in p])
+        self.impact = array("d", [x for p in post for _, x in p])
+        self._block_maxima()
         self.stride = max(PASSAGE_STRIDE, max(map(len, self.words), default=1))
 
+    def postings(self, term: int) -> dict[int, float]:
+        a, b = self.at[term], self.at[term + 1]
+        return dict(zip(self.items[a:b], self.impact[a:b], strict=True))
+
+    def _block_maxima(self) -> None:
+        """Greatest impact of every term in every block: of all its items there, and
+        of those in which it is not among the light terms."""
+        items, impact = np.frombuffer(self.items, np.int32), np.frombuffer(self.impact, np.float64)
+        term = np.repeat(np.arange(len(self.terms)), np.diff(np.frombuffer(self.at, np.int64)))
+        self.n_blocks = len(self.ids) // BLOCK_ITEMS + 1
+        # An item's lightest terms, as long as they stay below LIGHT together.
+        order = np.lexsort((impact, items))
+        total = np.cumsum(impact[order])
+        first = np.searchsorted(items[order], items[order])
+        heavy = np.empty(len(items), bool)
+        heavy[order] = total - np.where(first > 0, total[first - 1], 0.0) >= LIGHT
+
+        def maxima(which):
+            key = term[which] * self.n_blocks + items[which] // BLOCK_ITEMS  # ascending
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            top = np.maximum.reduceat(impact[which], start) if len(key) else np.zeros(0)
+            key = key[start]
+            at = np.searchsorted(key // self.n_blocks, np.arange(len(self.terms) + 1))
+            return at, key % self.n_blocks, top
+
+        self.heavy_at, self.heavy_block, self.heavy_max = maxima(heavy)
+        at, block, top = maxima(np.ones(len(items), bool))
+        self.block_at, self.block, self.block_max = array("q", at.astype(np.int64).tobytes()), array("q", block.astype(np.int64).tobytes()), array("d", top.tobytes())
+
     def search_block(self, terms: list[int], block: int, least: float) -> list[int]:
         """Items of the block with at least the score, for distinct terms, by
         WAND: cursors in order of their item, skipping to the item at which the
         terms' block maxima can first reach the threshold."""
         first, last = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-        cur = []
+        items, cur = self.items, []
         for t in terms:
-            at = bisect_left(self.items[t], first)
-            if at < len(self.items[t]) and self.items[t][at] < last:
-                cur.append([self.items[t][at], t, at, self.block_max[t][block]])
+            k = bisect_left(self.block, block, self.block_at[t], self.block_at[t + 1])
+            if k < self.block_at[t + 1] and self.block[k] == block:
+                at, end = bisect_left(items, first, self.at[t], self.at[t + 1]), bisect_left(items, last, self.at[t], self.at[t + 1])
+                cur.append([items[at], t, at, self.block_max[k], end])
         found = []
         while cur:
             cur.sort()
             bound, pivot = 0.0, None
             for c in cur:
                 bound += c[3]
-                if bound >= least:
+                if bound >= least - 1e-9:
                     pivot = c[0]
                     break
             if pivot is None:
@@ -153,17 +169,16 @@ class Index:
             score, stay = 0.0, []
             aligned = cur[0][0] == pivot
             for c in cur:
-                if c[0] > pivot:
-                    stay.append(c)
-                    continue
-                posting = self.items[c[1]]
-                if aligned:
-                    score += self.impact[c[1]][c[2]]
-                    at = c[2] + 1
-                else:
-                    at = c[2] if c[0] == pivot else bisect_left(posting, pivot, c[2])
-                if at < len(posting) and posting[at] < last:
-                    stay.append([posting[at], c[1], at, c[3]])
+                if c[0] <= pivot:
+                    if aligned:
+                        score += self.impact[c[2]]
+                        c[2] += 1
+                    else:
+                        c[2] = bisect_left(items, pivot, c[2], c[4])
+                    if c[2] == c[4]:
+                        continue
+                    c[0] = items[c[2]]
+                stay.append(c)
             if aligned and score >= least - 1e-9:
                 found.append(pivot)
             cur = stay
@@ -216,8 +231,7 @@ class Index:
         may = key[bound >= MIN_SCORE - LIGHT - 1e-9]
         for who, blk in zip((may // self.n_blocks).tolist(), (may % self.n_blocks).tolist(), strict=True):
             a, b = where[who]
-            terms = [t for t in term[a:b].tolist() if blk in self.block_max[t]]
-            out += [(int(owners[who]), int(at[who]), item) for item in self.search_block(terms, blk, MIN_SCORE)]
+            out += [(int(owners[who]), int(at[who]), item) for item in self.search_block(term[a:b].tolist(), blk, MIN_SCORE)]
         return out
 
     def verify(self, item: int, held: set[bytes], known: set[bytes]) -> float | None:
@@ -228,22 +242,40 @@ class Index:
         return share if share >= MIN_OVERLAP and all(len(p & known) >= MIN_PART * len(p) for p in parts) else None
 
 
-def _search(batches, index: Index):
-    for pdf in batches:
-        texts = pdf["text"].tolist()
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+def _slices(texts: list) -> list[tuple[int, int]]:
+    """Runs of texts of about CHUNK_CHARS, at least one each, so that a task's
+    arrays stay small whatever the size of its batches."""
+    out, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHUNK_CHARS:
+            out.append((first, k + 1))
+            first, size = k + 1, 0
+    return [*out, (first, len(texts))]
+
+
+def held_items(texts: list, index: Index) -> dict[int, dict[int, tuple[float, int]]]:
+    """Text number -> item -> (greatest overlap, first word of its passage)."""
+    best: dict[int, dict[int, tuple[float, int]]] = {}
+    for first, last in _slices(texts):
         held: dict[tuple[int, int], set[bytes]] = {}
         at_text, w = -1, []
-        for k, at, item in index.passages(texts):
+        for k, at, item in index.passages(texts[first:last]):
             if k != at_text:
-                at_text, w, held = k, words(texts[k]), {}
+                at_text, w, held = k, words(texts[first + k]), {}
             passage, size = w[at:at + 2 * index.stride], min(SHINGLE, len(index.words[item]))
             if (at, size) not in held:
                 held[at, size] = {b" ".join(passage[i:i + size]) for i in range(len(passage) - size + 1)}
             share = index.verify(item, held[at, size], set(passage))
-            if share is not None and share > best.get((k, item), (0.0, 0))[0]:
-                best[k, item] = (share, at)
-        rows = [(pdf["_row"].iloc[k], index.ids[i], x, at) for (k, i), (x, at) in best.items()]
+            if share is not None and share > best.get(first + k, {}).get(item, (0.0, 0))[0]:
+                best.setdefault(first + k, {})[item] = (share, at)
+    return best
+
+
+def _search(batches, index: Index):
+    for pdf in batches:
+        found = held_items(pdf["text"].tolist(), index)
+        rows = [(pdf["_row"].iloc[k], index.ids[i], x, at) for k, per in found.items() for i, (x, at) in per.items()]
         yield pd.DataFrame(rows, columns=["_row", "item_id", "overlap", "first_word"]).astype(
             {"_row": "int64", "item_id": "Int64", "overlap": "float64", "first_word": "int64"})
 
@@ -277,12 +309,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     return out.withColumnRenamed("_row", key)
 
 
+def _holds(index):
+    """Column function: the text holds an item of the broadcast index."""
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series) -> pd.Series:
+        found = held_items(text.tolist(), index.value)
+        return pd.Series([k in found for k in range(len(text))], dtype=bool)
+
+    return holds
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    scratch = C.Scratch(docs.sparkSession, "decontamination")
-    keyed = C.numbered(docs, scratch)
-    bad = scratch.cut(matches(keyed.select("_m", "_doc.text"), benchmark, "_m").select("_m").distinct(), "bad")
-    return keyed.join(bad, "_m", "left_anti").select("_doc.*")
+    """The documents that hold no item: one filter per index shard, so neither
+    texts nor row numbers move."""
+    for shard in item_shards(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(Index(shard))  # bounded by MAX_SHARD_BYTES
+        docs = docs.where(~_holds(index)("text"))
+    return docs
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

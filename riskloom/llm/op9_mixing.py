@@ -253,6 +253,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     per = m.pieces.groupBy("_id").agg(F.collect_list(F.struct("in_block", "lo", "hi", "cuts")).alias("pieces"))
     cols = docs.columns
     chars = cols.index("n_chars") if "n_chars" in cols else None
+    scratch.keep_only("numbered", "taken")
     whole = keyed.join(per, "_id").select("_doc", "size", "pieces")
     return whole.mapInPandas(lambda it: _emit(it, cols, cols.index("text"), chars), docs.schema)
 
