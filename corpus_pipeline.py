@@ -28,8 +28,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    return op5_minhash_dedup.drop_near_duplicates(docs)
+    """Of each group of near duplicates, linked from a similarity of 0.8 of their
+    five-word shingles on, the document of the smallest doc_id stays."""
+    return op5_minhash_dedup.drop_near_duplicates(docs, op5_minhash_dedup.STAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """MinHash near-dedup with an LSH forest.
 
-Documents with equal shingle sets are one class.  A class's signature has
-``TREES`` x ``DEPTH`` MinHash values; each tree orders the classes by its own
+Documents with equal shingle sets are one class.  Classes are linked from a
+similarity on that the caller chooses (``Links``): the query op5 links at 0.85
+(``THIN``), the pipeline's stage at 0.8 (``STAGE``), and the number of trees and the
+bound on estimates go with it.  A class's signature has
+``trees`` x ``DEPTH`` MinHash values; each tree orders the classes by its own
 ``DEPTH`` values, and classes that share a prefix of that order are candidates.
 The prefix is as deep as the region asks for: it starts at ``MIN_DEPTH`` values,
 and where more than ``REGION`` classes share it, one value more is asked of them,
@@ -16,7 +19,7 @@ incidence matrix with itself) and returns a spanning forest of the links it find
 a crowd's members outside its main component meet all its blocks there.  Pairs
 within one component need no check, as only what is connected is asked, and no
 step writes out all pairs of a region.  Signatures rule out a pair only below
-``LIKELY``, some four standard errors under the threshold.
+``likely``, more than four standard errors under the threshold.
 
 Defined results: null text, or one without words, has an empty set and links
 with nothing; with fewer than five words the whole sequence is the one shingle;
@@ -27,6 +30,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -36,19 +42,32 @@ from pyspark.sql import functions as F
 from riskloom.llm import common as C
 
 SHINGLE = 5
-TREES, DEPTH, MIN_DEPTH = 16, 8, 4
+DEPTH, MIN_DEPTH = 8, 4
 #: Classes that one region may hold before a deeper prefix is asked for.
 REGION = 256
-#: Estimated similarity from which a pair is confirmed on the full sets.
-LIKELY = 0.7
-PERCENT = 85
+
+
+class Links(NamedTuple):
+    """Similarity in per cent from which classes are linked, estimate from which a
+    pair is confirmed on the full sets, and trees of the forest."""
+
+    percent: int
+    likely: float
+    trees: int
+
+
+#: At its threshold either misses a pair with under 1e-5 by MIN_DEPTH values and under 1 % by DEPTH.
+THIN, STAGE = Links(85, 0.7, 16), Links(80, 0.66, 28)
 #: Ids that may be sent to all tasks (8 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 200_000
 
 _RNG = np.random.default_rng(5)
-_MUL = _RNG.integers(1, 2**63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, size=TREES * DEPTH, dtype=np.uint64)
+_MUL = _RNG.integers(1, 2**63, size=THIN.trees * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, size=THIN.trees * DEPTH, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 2**63, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MORE = (STAGE.trees - THIN.trees) * DEPTH  # drawn last: the first trees are the same in both
+_MUL = np.append(_MUL, _RNG.integers(1, 2**63, size=_MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_ADD = np.append(_ADD, _RNG.integers(0, 2**63, size=_MORE, dtype=np.uint64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -88,14 +107,15 @@ def shingle_set(text: str | None) -> np.ndarray:
     return s[np.r_[True, s[1:] != s[:-1]]]
 
 
-def signature(s: np.ndarray) -> bytes:
-    """TREES x DEPTH MinHash values of 16 bits, big-endian, so that bytes sort as
+def signature(s: np.ndarray, trees: int = THIN.trees) -> bytes:
+    """trees x DEPTH MinHash values of 16 bits, big-endian, so that bytes sort as
     the values do."""
-    low = np.full(TREES * DEPTH, np.uint64(2**64 - 1))
+    mul, add = _MUL[:trees * DEPTH, None], _ADD[:trees * DEPTH, None]
+    low = np.full(trees * DEPTH, np.uint64(2**64 - 1))
     with np.errstate(over="ignore"):
         for k in range(0, len(s), 2048):
             part = s[k:k + 2048]
-            np.minimum(low, (_MUL[:, None] * part + _ADD[:, None]).min(axis=1), out=low)
+            np.minimum(low, (mul * part + add).min(axis=1), out=low)
         return (_mix(low) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
@@ -104,7 +124,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _sign(batches):
+def _sign(batches, links: Links):
     for pdf in batches:
         n, k1, k2, sig = [], [], [], []
         for text in pdf["text"]:
@@ -113,17 +133,18 @@ def _sign(batches):
             n.append(len(s))
             k1.append(a)
             k2.append(b)
-            sig.append(signature(s) if len(s) else b"")
+            sig.append(signature(s, links.trees) if len(s) else b"")
         yield pd.DataFrame({"id": pdf["id"], "n": n, "k1": k1, "k2": k2, "sig": sig})
 
 
-def _entries(batches):
+def _entries(batches, links: Links):
     """The class's place in every tree: its first MIN_DEPTH values and the rest."""
     for pdf in batches:
         if not len(pdf):
             continue
-        v = np.frombuffer(b"".join(pdf["sig"]), dtype=">u8").astype(np.int64).reshape(len(pdf), TREES, DEPTH // 4)
-        yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(pdf)),
+        v = np.frombuffer(b"".join(pdf["sig"]), dtype=">u8").astype(np.int64).reshape(len(pdf), links.trees, DEPTH // 4)
+        yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), links.trees),
+                            "tree": np.tile(np.arange(links.trees, dtype=np.int32), len(pdf)),
                             "hi": v[:, :, 0].ravel(), "lo": v[:, :, 1].ravel()})
 
 
@@ -144,13 +165,13 @@ def _by_region(batches):
         yield held
 
 
-def likely_pairs(sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def likely_pairs(sig: np.ndarray, n: np.ndarray, links: Links = THIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, estimate) of the pairs a < b that may be similar enough."""
     out = []
     for i in range(len(sig) - 1):
         same = (sig[i + 1:] == sig[i]).sum(axis=1) / sig.shape[1]
         size = n[i + 1:]
-        ok = (same >= LIKELY) & (100 * np.minimum(size, n[i]) >= PERCENT * np.maximum(size, n[i]))
+        ok = (same >= links.likely) & (100 * np.minimum(size, n[i]) >= links.percent * np.maximum(size, n[i]))
         j = np.flatnonzero(ok)
         if len(j):
             out.append((np.full(len(j), i), j + i + 1, same[j]))
@@ -178,7 +199,7 @@ def _forest(n: int, a, b, est) -> list[int]:
     return kept
 
 
-def _first_pairs(batches):
+def _first_pairs(batches, links: Links):
     """Spanning forest of each region's likely pairs."""
     out, size = [], 0
     for g in _by_region(batches):
@@ -186,7 +207,7 @@ def _first_pairs(batches):
             continue
         g = g.sort_values("cid")
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
-        a, b, est = likely_pairs(sig, g["n"].to_numpy())
+        a, b, est = likely_pairs(sig, g["n"].to_numpy(), links)
         keep = _forest(len(g), a, b, est)
         if keep:
             cid = g["cid"].to_numpy()
@@ -199,13 +220,13 @@ def _first_pairs(batches):
         yield pd.concat(out)
 
 
-def _unsettled(batches):
+def _unsettled(batches, links: Links):
     """(region, cid, comp) of the members in a likely pair between components."""
     for g in _by_region(batches):
         if len(g) < 2:
             continue
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), -1)
-        a, b, _ = likely_pairs(sig, g["n"].to_numpy())
+        a, b, _ = likely_pairs(sig, g["n"].to_numpy(), links)
         comp = g["comp"].to_numpy()
         apart = comp[a] != comp[b]
         at = np.unique(np.concatenate([a[apart], b[apart]]))
@@ -213,7 +234,7 @@ def _unsettled(batches):
             yield g.iloc[at][["region", "cid", "comp"]]
 
 
-def _settle(batches):
+def _settle(batches, links: Links):
     """Spanning forest of the links between components, from the full sets of a
     region's members."""
     for g in _by_region(batches):
@@ -221,7 +242,7 @@ def _settle(batches):
         n = np.array([len(x) for x in sets])
         both = common_counts(sets)
         cid, comp = g["cid"].to_numpy(), g["comp"].to_numpy()
-        a, b = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :]))
+        a, b = np.nonzero(np.triu(100 * both >= links.percent * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :]))
         if len(a):
             names, at = np.unique(comp, return_inverse=True)
             keep = _forest(len(names), at[a], at[b], np.zeros(len(a)))
@@ -256,7 +277,7 @@ def _sets(batches):
         yield pd.DataFrame({"cid": [set_key(x)[0] for x in s], "s": [x.tobytes() for x in s]})
 
 
-def _confirm(batches):
+def _confirm(batches, links: Links):
     for pdf in batches:
         ok = []
         for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
@@ -266,20 +287,21 @@ def _confirm(batches):
             at = np.searchsorted(y, x)
             at[at == len(y)] = 0
             both = int((y[at] == x).sum())
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            ok.append(100 * both >= links.percent * (len(x) + len(y) - both))
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, links: Links) -> DataFrame:
     a = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
-    return pairs.distinct().join(a, "a").join(b, "b").mapInPandas(_confirm, "a long, b long")
+    return pairs.distinct().join(a, "a").join(b, "b").mapInPandas(partial(_confirm, links=links), "a long, b long")
 
 
-def regions(classes: DataFrame, scratch: C.Scratch) -> tuple[DataFrame, DataFrame | None]:
+def regions(classes: DataFrame, scratch: C.Scratch, links: Links = THIN) -> tuple[DataFrame, DataFrame | None]:
     """(region, cid): the forest's regions, each at most about REGION classes; and
     (crowd, cid) of the classes that share all values of a tree with more."""
-    entries = scratch.cut(classes.select("cid", "sig").mapInPandas(_entries, "cid long, tree int, hi long, lo long"), "entries")
+    entries = classes.select("cid", "sig").mapInPandas(partial(_entries, links=links), "cid long, tree int, hi long, lo long")
+    entries = scratch.cut(entries, "entries")
     found, crowd, depth = [], None, MIN_DEPTH
     while True:
         prefix = F.lit(0).cast("long") if depth == MIN_DEPTH else F.shiftrightunsigned("lo", 16 * (DEPTH - depth))
@@ -331,20 +353,21 @@ def _crowd_regions(crowd: DataFrame, comp: DataFrame) -> DataFrame:
     return every.select(region, "cid").unionByName(some.select(region, "cid")).distinct()
 
 
-def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: C.Scratch, links: Links = THIN) -> DataFrame:
     """``docs`` is (id long, text); returns one row per row: id, n_shingles,
-    component_id, the smallest id that is linked, directly or over others."""
+    component_id, the smallest id that is linked, directly or over others; a pair is
+    linked from ``links.percent`` on."""
     spark = docs.sparkSession
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
-    signed = scratch.cut(docs.mapInPandas(_sign, "id long, n long, k1 long, k2 long, sig binary"), "signed")
+    signed = scratch.cut(docs.mapInPandas(partial(_sign, links=links), "id long, n long, k1 long, k2 long, sig binary"), "signed")
     classes = (signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2")
                .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     classes = scratch.cut(classes.withColumnRenamed("k1", "cid"), "classes")
-    region, crowd = regions(classes, scratch)
+    region, crowd = regions(classes, scratch, links)
     members = scratch.cut(region.join(classes.select("cid", "n", "sig"), "cid"), "members")
     scratch.drop("entries", "regions")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = members.repartition(width, "region").sortWithinPartitions("region").mapInPandas(_first_pairs, "a long, b long")
+    first = members.repartition(width, "region").sortWithinPartitions("region").mapInPandas(partial(_first_pairs, links=links), "a long, b long")
     if crowd is not None:
         first = first.unionByName(_crowd_hubs(crowd))
     first = scratch.cut(first, "first")
@@ -355,8 +378,7 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     few = asked.count() <= BROADCAST_IDS
     sets = docs.join(F.broadcast(asked) if few else asked, "id").mapInPandas(_sets, "cid long, s binary")
     sets = scratch.cut(sets, "sets")
-    links = scratch.cut(_confirmed(first, sets), "links1")
-    comp = C.components(links, scratch, "cc1")
+    comp = C.components(scratch.cut(_confirmed(first, sets, links), "links1"), scratch, "cc1")
 
     member = members.select("region", "cid")
     if crowd is not None:
@@ -365,9 +387,9 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     split = labelled.groupBy("region").agg((F.min("comp") < F.max("comp")).alias("split")).where("split").select("region")
     labelled = labelled.join(split, "region").select("region", "cid", "comp").join(classes.select("cid", "n", "sig"), "cid")
     unsettled = scratch.cut(labelled.repartition(width, "region").sortWithinPartitions("region").mapInPandas(
-        _unsettled, "region long, cid long, comp long"), "unsettled")
+        partial(_unsettled, links=links), "region long, cid long, comp long"), "unsettled")
     more = (unsettled.join(sets, "cid").repartition(width, "region").sortWithinPartitions("region")
-            .mapInPandas(_settle, "a long, b long"))
+            .mapInPandas(partial(_settle, links=links), "a long, b long"))
     more = scratch.cut(more, "links2")
     scratch.drop("members", "sets", "first", "unsettled", *[f"depth{d}" for d in range(MIN_DEPTH, DEPTH + 1)])
     if more.limit(1).count():
@@ -383,11 +405,11 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
             .select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, links: Links = STAGE) -> DataFrame:
     """One document of each component: that of the smallest doc_id."""
     scratch = C.Scratch(docs.sparkSession, "minhash")
     keyed = C.numbered(docs, scratch)
-    groups = near_duplicates(keyed.select(F.col("_m").alias("id"), "_doc.text"), scratch)
+    groups = near_duplicates(keyed.select(F.col("_m").alias("id"), "_doc.text"), scratch, links)
     first = (groups.select(F.col("id").alias("_m"), F.col("component_id").alias("_c")).join(keyed.select("_m", "_doc.doc_id"), "_m")
              .groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_m")).alias("k")))
     keep = scratch.cut(first.select(F.col("k._m").alias("_m")), "keep")
