@@ -1,8 +1,12 @@
 """Personal data: patterns for four kinds, and bootstrapped contextual extraction.
 
 The base spans (e-mail, IP address, card, phone) come from fixed patterns and
-their checks.  They are the seeds of a graph: every word that holds a digit or
-an @ is an instance, the two words before it are its lexical pattern.  In rounds,
+their checks.  They are the seeds of a graph.  An instance is a whole base span
+with the words that it meets, or else a run of words of digits, brackets, dots and
+hyphens with blanks or a lone hyphen or dot between, or else a single word that
+holds a digit or an @; a run of more than ``MAX_DIGITS`` digits is a row of numbers,
+whose words are instances each.  The two words before an instance, and behind the
+last one, are its lexical pattern.  In rounds,
 a pattern's confidence in a kind is the mean confidence of its instances, and an
 unseen instance takes that of its best supported pattern.  Patterns that keep a
 high confidence and are backed by enough different seeds give their kind to the
@@ -39,10 +43,17 @@ PATTERNS = {
 _NO_SPACE = r"[^\x20\x09-\x0D]"
 #: A word with a digit or an @.
 INSTANCE = r"(?<!" + _NO_SPACE + r")[^\x20\x09-\x0D0-9@]*+[0-9@]" + _NO_SPACE + "*+"
-#: The last two words before an instance; words are looked for in the last CONTEXT characters.
-LEFT = "(" + _NO_SPACE + r"+[\x20\x09-\x0D]+" + _NO_SPACE + r"+)[\x20\x09-\x0D]+$"
+#: The last words, two at most, between two instances; words are looked for in the last CONTEXT characters.
+LEFT = "((?:" + _NO_SPACE + r"+[\x20\x09-\x0D]+){1,2})$"
 CONTEXT = 80
 TRIM = r"\"'`()\[\]{}<>|,;:.!?"
+#: What a run's first and last word lose: not the brackets around digits.
+LEAD = r"^(?:(?![(\[][0-9]+[)\]])[" + TRIM + "])*+"
+TAIL = "(?:[" + TRIM + r"](?<![(\[][0-9]{1,19}[)\]]))++$"
+#: A word that a run can hold, and what may lie between two of them.
+DIGITS = r"^\+?[0-9().\[\]-]+$"
+JOIN = r"^\x20+(?:[.-]\x20+)?$"
+MAX_DIGITS = 19
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
@@ -75,46 +86,77 @@ def passes(kind: str, match: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, when: Column, left: bool = False) -> Column:
-    """Array of (gap, match, left): length of the text before each match since the
-    last, the match, and the words before it."""
+    """Array of (gap, match, left, near): length of the text before each match since
+    the last, the match, the words there, and if it may join two words of a run."""
     pieces = F.split(text, pattern, -1)
     gaps = F.transform(pieces, lambda p: F.struct(
         F.length(p).alias("gap"),
-        (F.regexp_extract(F.right(p, F.lit(CONTEXT)), LEFT, 1) if left else F.lit("")).alias("left")))
+        (F.regexp_extract(F.right(p, F.lit(CONTEXT)), LEFT, 1) if left else F.lit("")).alias("left"),
+        (p.rlike(JOIN) if left else F.lit(False)).alias("near")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # As many gaps as matches: the last piece has no match behind it.
     zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                        lambda g, m: F.struct(g["gap"].alias("gap"), m.alias("match"), g["left"].alias("left")))
+                        lambda g, m: F.struct(g["gap"].alias("gap"), m.alias("match"), g["left"].alias("left"), g["near"].alias("near")))
     return F.when(when, zipped)
 
 
 def _placed(found: DataFrame, column: str) -> DataFrame:
-    """(_r, match, left, start, end) of an array of matches per row."""
+    """(_r, gap, match, left, near, start, end) of an array of matches per row."""
     rows = found.where(F.size(column) > 0).select("_r", F.posexplode(column).alias("i", "m"))
     w = Window.partitionBy("_r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.length("m.match")).over(w)
     return (rows.withColumn("end", end.cast("long"))
-            .select("_r", "m.match", "m.left", (F.col("end") - F.length("m.match")).alias("start"), "end"))
+            .select("_r", "m.*", (F.col("end") - F.length("m.match")).alias("start"), "end"))
+
+
+def _units(word: DataFrame, base: DataFrame) -> DataFrame:
+    """(_r, start, end, value, kind, at, to, ...): the words, those that meet base
+    spans as one with them; value and kind are those of the first span, or kind is
+    null.  at and to are the ends without trimming, the rest is of the first word."""
+    first = F.struct("start", "gap", "left", "near", "match")
+    span = F.struct("start", "k", "end", "match", "kind")
+    both = word.select("_r", "start", "end", first.alias("word"), F.lit(None).cast("struct<start:bigint,k:int,end:bigint,match:string,kind:string>").alias("span"))
+    both = both.unionByName(base.select("_r", "start", "end", span.alias("span")), allowMissingColumns=True)
+    w = Window.partitionBy("_r").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn(
+        "unit", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.groupBy("_r", "unit").agg(F.min("start").alias("at"), F.max("end").alias("to"), F.min("span").alias("span"),
+                                          F.min("word").alias("word")).select("_r", "unit", "at", "to", "span", "word.gap", "word.left", "word.near", "word.match")
 
 
 def _instances(found: DataFrame, base: DataFrame) -> DataFrame:
-    """(_r, start, end, value, left, kind): the words with a digit or @ and their
-    patterns; kind is that of a base span that the word meets, or null."""
-    word = _placed(found, "word")
-    lead = F.length(F.regexp_extract("match", f"^[{TRIM}]*", 0))
-    value = F.regexp_replace("match", f"^[{TRIM}]+|[{TRIM}]+$", "")
-    word = (word.withColumn("start", F.col("start") + lead).withColumn("value", value)
-            .withColumn("end", F.col("start") + F.length("value")).where("value <> ''").withColumn("value", F.lower("value"))
-            .withColumn("left", F.regexp_replace(F.lower("left"), r"[\x20\x09-\x0D]+", " ")))
-    both = word.select("_r", "start", "end", "value", "left", F.lit(None).cast("string").alias("kind")).unionByName(
-        base.select("_r", "start", "end", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("left"), "kind"))
-    w = Window.partitionBy("_r").orderBy("start")
-    span = F.when(F.col("kind").isNotNull(), F.struct("end", "kind"))
-    ahead = F.when(F.col("kind").isNotNull(), F.struct("start", "kind"))
-    both = both.withColumn("_b", F.max(span).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_a", F.min(ahead).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    kind = F.when(F.col("_b.end") > F.col("start"), F.col("_b.kind")).when(F.col("_a.start") < F.col("end"), F.col("_a.kind"))
-    return both.where("value IS NOT NULL").withColumn("kind", kind).drop("_a", "_b")
+    """(_r, start, end, value, left, kind): the instances and their patterns; kind is
+    that of the base span, or null."""
+    unit = _units(_placed(found, "word"), base)
+    alone = F.col("span").isNull()
+    lead, tail = F.length(F.regexp_extract("match", LEAD, 0)), F.length(F.regexp_extract("match", TAIL, 0))
+    core = F.regexp_replace(F.regexp_replace("match", LEAD, ""), TAIL, "")
+    unit = unit.withColumn("lead", lead).withColumn("tail", tail).withColumn("core", core)
+    unit = unit.withColumn("run", alone & F.col("core").rlike(DIGITS))
+    w = Window.partitionBy("_r").orderBy("at")
+    joins = (F.col("run") & F.col("near") & (F.col("lead") == 0) & ~F.startswith("core", F.lit("+"))
+             & F.lag(F.col("run") & (F.col("tail") == 0), 1, False).over(w))
+    unit = unit.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn(
+        "i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = Window.partitionBy("_r", "i")
+    long = F.sum(F.length(F.regexp_replace("core", "[^0-9]", ""))).over(of) > MAX_DIGITS
+    # The words of a row of numbers are numbered apart, behind their row.
+    unit = unit.withColumn("j", F.when(F.col("run") & long, F.col("unit")).otherwise(0))
+    part = F.struct("at", "to", "lead", "tail", "core", "match", "gap", "left")
+    per = unit.groupBy("_r", "i", "j").agg(F.array_sort(F.collect_list(part)).alias("u"), F.min("span").alias("span"))
+    a, z, one = F.col("u")[0], F.element_at("u", -1), F.size("u") == 1
+    bare = F.regexp_replace(a["match"], f"^[{TRIM}]+|[{TRIM}]+$", "")
+    bare_at = a["at"] + F.length(F.regexp_extract(a["match"], f"^[{TRIM}]*", 0))
+    joined = F.array_join(F.transform("u", lambda x: x["core"]), " ")
+    met = F.col("span").isNotNull()
+    per = per.select(
+        "_r", a["at"].alias("at"), a["gap"].alias("gap"), F.trim(F.regexp_replace(F.lower(a["left"]), r"[\x20\x09-\x0D]+", " ")).alias("words"),
+        F.when(met, F.col("span.start")).when(one, bare_at).otherwise(a["at"] + a["lead"]).alias("start"),
+        F.when(met, F.col("span.end")).when(one, bare_at + F.length(bare)).otherwise(z["to"] - z["tail"]).alias("end"),
+        F.lower(F.when(met, F.col("span.match")).when(one, bare).otherwise(joined)).alias("value"), F.col("span.kind").alias("kind"))
+    left = F.when(F.size(F.split("words", " ")) == 2, F.col("words")).otherwise("")
+    return per.withColumn("_left", left).where("value <> ''").select("_r", "start", "end", "value", F.col("_left").alias("left"), "kind")
 
 
 def confident_patterns(instances: DataFrame, scratch: C.Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -160,7 +202,8 @@ def find_spans(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     found = scratch.cut(found, "found")
     base = None
     for i, k in enumerate(KINDS):
-        rows = _placed(found, k).where(passes(k, F.col("match"))).select("_r", "start", "end", F.lit(k).alias("kind"), F.lit(i).alias("k"))
+        rows = _placed(found, k).where(passes(k, F.col("match"))).select(
+            "_r", "start", "end", "match", F.lit(k).alias("kind"), F.lit(i).alias("k"))
         base = rows if base is None else base.unionByName(rows)
     base = scratch.cut(base, "base")
     instances = scratch.cut(_instances(found.select("_r", "word"), base), "instances")
@@ -168,7 +211,7 @@ def find_spans(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     index = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     new = (instances.where(F.col("kind").isNull() & (F.length("value") >= MIN_LENGTH)).drop("kind").join(patterns, "left")
            .select("_r", "start", "end", "kind", index.alias("k")))
-    spans = base.withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
+    spans = base.drop("match").withColumn("base", F.lit(True)).unionByName(new.withColumn("base", F.lit(False)))
     key = F.struct("start", "k", "end")
     per = spans.groupBy("_r").agg(*[F.sum(((F.col("kind") == k) & F.col("base")).cast("long")).alias(f"n_{k}") for k in KINDS],
                                   F.collect_list(F.when(F.col("base"), key)).alias("b"), F.collect_list(key).alias("a"))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from riskloom.llm import common as C
-from riskloom.llm import op5_minhash_dedup, op7_decontamination
+from riskloom.llm import op5_minhash_dedup, op6_pii, op7_decontamination
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -46,3 +46,33 @@ def test_pipeline_stages_after_links_from_four_fifths(spark):
     assert ids[3] == ids[2] - bad and ids[4] <= ids[3] and ids[5] == ids[4]
     n = Counter(r["shard"] for r in steps[5].collect())
     assert max(n.values()) - min(n.values()) <= 1 and sum(n.values()) == steps[4].count()
+
+
+def spans_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["spans"] for r in op6_pii.find_spans(df, C.Scratch(spark, "t")).collect()}
+
+
+def found(kind, text, value):
+    return f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+
+
+def test_pii_identifiers_of_several_words(spark):
+    phones = ["+1 (826) 555-4081", "+1 (826) 555-4082", "+1 (311) 555-9000", "+1 (312) 555-9001"]
+    cards = ["4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444"]
+    new = [("phone", "you may call me 555 123 4567, or not", "555 123 4567"), ("phone", "you may call me (555) 123-4567 now", "(555) 123-4567"),
+           ("phone", "you may call me 55512 345 - 678. 12 more", "55512 345 - 678"), ("card", "charge my card 4111 1111 1111 1112 please", "4111 1111 1111 1112"),
+           ("phone", "you may call me 555 123 4568 +1 (826) 555-4081", "555 123 4568")]
+    texts = [f"you may call me {p} today" for p in phones] + [f"charge my card {c} please" for c in cards] + [t for _, t, _ in new]
+    spans = spans_of(spark, texts)
+    for i, (kind, text, value) in enumerate(new):
+        assert found(kind, text, value) in spans[len(phones) + len(cards) + i].split(",")
+    two = spans_of(spark, [f"you may call me {p} today" for p in phones[:2]] * 2 + ["you may call me 555 123 4567"])
+    assert two[4] == ""  # two different seeds, however often
+
+
+def test_pii_rows_of_numbers_are_words(spark):
+    numbers = " ".join(str(1000 + i) for i in range(40))
+    seeds = [f"you may call me +1 (826) 555-40{i} today" for i in range(10, 16)]
+    spans = spans_of(spark, [*seeds, "you may call me 12345 " + numbers])
+    assert spans[6] == "phone:16:21"
