@@ -5,8 +5,9 @@ their checks.  They are the seeds of a graph.  An instance is a whole base span
 with the words that it meets, or else a run of words of digits, brackets, dots and
 hyphens with blanks or a lone hyphen or dot between, or else a single word that
 holds a digit or an @; a run of more than ``MAX_DIGITS`` digits is a row of numbers,
-whose words are instances each.  The two words before an instance, and behind the
-last one, are its lexical pattern.  In rounds,
+whose words are instances each.  The two words before an instance are its lexical
+pattern, where an instance before it counts as one word of its own, ``HELD``; an
+instance with less than two words before it in the text has no pattern.  In rounds,
 a pattern's confidence in a kind is the mean confidence of its instances, and an
 unseen instance takes that of its best supported pattern.  Patterns that keep a
 high confidence and are backed by enough different seeds give their kind to the
@@ -46,6 +47,7 @@ INSTANCE = r"(?<!" + _NO_SPACE + r")[^\x20\x09-\x0D0-9@]*+[0-9@]" + _NO_SPACE +
 #: The last words, two at most, between two instances; words are looked for in the last CONTEXT characters.
 LEFT = "((?:" + _NO_SPACE + r"+[\x20\x09-\x0D]+){1,2})$"
 CONTEXT = 80
+HELD = "0"  # holds a digit, so no other word of a pattern is the same
 TRIM = r"\"'`()\[\]{}<>|,;:.!?"
 #: What a run's first and last word lose: not the brackets around digits.
 LEAD = r"^(?:(?![(\[][0-9]+[)\]])[" + TRIM + "])*+"
@@ -155,7 +157,14 @@ def _instances(found: DataFrame, base: DataFrame) -> DataFrame:
         F.when(met, F.col("span.start")).when(one, bare_at).otherwise(a["at"] + a["lead"]).alias("start"),
         F.when(met, F.col("span.end")).when(one, bare_at + F.length(bare)).otherwise(z["to"] - z["tail"]).alias("end"),
         F.lower(F.when(met, F.col("span.match")).when(one, bare).otherwise(joined)).alias("value"), F.col("span.kind").alias("kind"))
-    left = F.when(F.size(F.split("words", " ")) == 2, F.col("words")).otherwise("")
+    # Words before: those since the last instance, then that instance, and so on.
+    per = per.withColumn("words", F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " ")))
+    held = F.when(F.row_number().over(w) > 1, F.array(F.lit(HELD))).otherwise(F.array().cast("array<string>"))
+    per = per.withColumn("all", F.concat(held, "words")).withColumn("cut", (F.size("words") < 2) & (F.col("gap") > CONTEXT))
+    last = F.lag(F.when(F.col("cut"), F.array(F.lit(None).cast("string"))).otherwise(F.col("all"))).over(w)
+    before = F.concat(F.coalesce(last, F.array().cast("array<string>")), "all")
+    two = F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2)
+    left = F.when(F.col("cut") | (F.size(before) < 2), "").when(F.exists(two, lambda x: x.isNull()), "").otherwise(F.array_join(two, " "))
     return per.withColumn("_left", left).where("value <> ''").select("_r", "start", "end", "value", F.col("_left").alias("left"), "kind")
 
 

@@ -76,3 +76,11 @@ def test_pii_rows_of_numbers_are_words(spark):
     seeds = [f"you may call me +1 (826) 555-40{i} today" for i in range(10, 16)]
     spans = spans_of(spark, [*seeds, "you may call me 12345 " + numbers])
     assert spans[6] == "phone:16:21"
+
+
+def test_pii_context_holds_instances(spark):
+    known = [f"tel 555123{i} mail u{i}@ex{i}.org fax 55{i}9876 done" for i in range(4)]
+    texts = [*known, "tel 5551239 mail jane99-at-corp fax 5559877 done", "see u1@ex.org u2@ex.org u3@ex.org u4@ex.org u5@ex.org jane98-at-corp"]
+    spans = spans_of(spark, texts)
+    assert spans[4] == found("email", texts[4], "jane99-at-corp")
+    assert found("email", texts[5], "jane98-at-corp") in spans[5].split(",")
