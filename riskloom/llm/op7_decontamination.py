@@ -22,7 +22,7 @@ or sentence; the rest is the answer.
 
 Defined results: null or empty texts and items without words match nothing; an
 item of fewer than five words counts as one shingle of all its words; of rows
-with one doc_id each is reported; an item listed twice is reported twice; extra
+with one doc_id, or with none, each is reported; an item listed twice is reported twice; extra
 columns are ignored.  Nothing is capped: all pairs above the thresholds are
 returned, at most one row per document and item.
 """
@@ -277,7 +277,7 @@ def _search(batches, index: Index):
         found = held_items(pdf["text"].tolist(), index)
         rows = [(pdf["_row"].iloc[k], index.ids[i], x, at) for k, per in found.items() for i, (x, at) in per.items()]
         yield pd.DataFrame(rows, columns=["_row", "item_id", "overlap", "first_word"]).astype(
-            {"_row": "int64", "item_id": "Int64", "overlap": "float64", "first_word": "int64"})
+            {"item_id": "Int64", "overlap": "float64", "first_word": "int64"})
 
 
 def item_shards(benchmark: DataFrame, limit: int = MAX_SHARD_BYTES):
@@ -298,15 +298,16 @@ def item_shards(benchmark: DataFrame, limit: int = MAX_SHARD_BYTES):
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
     """(key, item_id, overlap, first_word): the items that each row holds, ``key``
-    being a long column of ``docs``."""
+    being a long column of ``docs``; it is null where the row's is."""
     spark = docs.sparkSession
-    schema = "_row long, item_id long, overlap double, first_word long"
-    src = docs.select(F.col(key).cast("long").alias("_row"), "text").where(F.col("text").isNotNull() & F.col("_row").isNotNull())
+    # The key as text: pandas has no null among longs without rounding the large ones.
+    schema = "_row string, item_id long, overlap double, first_word long"
+    src = docs.select(F.col(key).cast("long").cast("string").alias("_row"), "text").where(F.col("text").isNotNull())
     out = spark.createDataFrame([], schema)
     for shard in item_shards(benchmark):
         index = spark.sparkContext.broadcast(Index(shard))  # bounded by MAX_SHARD_BYTES
         out = out.unionByName(src.mapInPandas(lambda it, ix=index: _search(it, ix.value), schema))
-    return out.withColumnRenamed("_row", key)
+    return out.select(F.col("_row").cast("long").alias(key), "item_id", "overlap", "first_word")
 
 
 def _holds(index):

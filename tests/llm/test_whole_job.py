@@ -84,3 +84,12 @@ def test_pii_context_holds_instances(spark):
     spans = spans_of(spark, texts)
     assert spans[4] == found("email", texts[4], "jane99-at-corp")
     assert found("email", texts[5], "jane98-at-corp") in spans[5].split(",")
+
+
+def test_decontamination_reports_rows_without_doc_id(spark):
+    big = 2**62 + 1
+    items = spark.createDataFrame([(7, "what is the name of the thing? it is a b c d e")], "item_id long, text string")
+    rows = [(None, "x what is the name of the thing? it is a b c d e"), (big, "what is the name of the thing? it is a b c d e y"), (None, "z"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["item_id"]) for r in op7_decontamination.matches(docs, items, "doc_id").collect()]
+    assert sorted(got, key=str) == sorted([(None, 7), (big, 7)], key=str)
