@@ -37,7 +37,8 @@ _TOPIC: dict = {}
 
 def _topic(spark, d) -> str:
     """The events as a topic of several files, written one after the other in
-    event-time order, so that a stream over them runs in several micro-batches."""
+    event-time order, events without a time in the last, so that a stream over them
+    runs in several micro-batches."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _TOPIC:
         path = roundtrip_path(spark, "topic")
@@ -50,6 +51,8 @@ def _topic(spark, d) -> str:
                 part = part.where(sec >= F.lit(lo))
             if hi is not None:
                 part = part.where(sec < F.lit(hi))
+            elif lo is not None:
+                part = ev.where((sec >= F.lit(lo)) | sec.isNull())
             part.write.mode("append").parquet(path)
         _TOPIC[key] = path
     return _TOPIC[key]
