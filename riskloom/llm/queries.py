@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("op1_line_dedup", "op2_sharding", "op3_quality", "op4_embedding_dedup", "op5_minhash_dedup", "op6_pii",
-           "op7_decontamination", "op8_chat", "op9_mixing", "op10_toxicity", "op12_packing", "op13_importance")
+           "op7_decontamination", "op8_chat", "op9_mixing", "op10_toxicity", "op11_collocations", "op12_packing", "op13_importance")
 
 
 def queries() -> dict:
