@@ -2,14 +2,16 @@
 
 A document falls into one of ``shards`` logical shards by a hash of its row.  Every
 shard is mined completely, for phrases of one word, then two, three and four, at its
-own local support: the support times the shard's share of the language's words,
-rounded up.  A phrase below that in every shard is below the support in the whole, so
-the union of the locally frequent phrases holds every frequent one.  Tasks work on
-64-bit hashes of word runs, count them batch by batch, and Spark adds up the counts
-per shard; a shard is never one task.  A run is counted only where the two runs one
-word shorter inside it may be frequent, by a bitmap of ``2**BITMAP_BITS`` bits for
-each length.  Hash collisions and a crowded bitmap let more phrases through, never
-fewer.  A last pass counts the phrases of the union exactly, as strings.
+own local support: the support times the shard's share of all words, rounded up.  A
+phrase below that in every shard is below the support in the whole, so the union of
+the locally frequent phrases holds every frequent one.  Where the counts of a phrase
+in the shards that report it, and one less than the local support for each other
+shard, do not add up to the support, it leaves the union.  Tasks work on 64-bit hashes
+of word runs, count them batch by batch, and Spark adds up the counts per shard; a
+shard is never one task.  A run is counted only where the two runs one word shorter
+inside it may be frequent, by a bitmap of ``2**BITMAP_BITS`` bits for each length.
+Hash collisions and a crowded bitmap let more phrases through, never fewer.  A last
+pass counts the phrases of the union exactly, as strings.
 
 The bitmaps (8 MB for each length, whatever the corpus) are all that passes through
 the driver.  Scores are exact in decimals.  Longer phrases report their counts to the
@@ -51,7 +53,7 @@ BITMAP_BITS = 26
 #: Bytes of text whose runs are counted at a time.
 SLICE_BYTES = 2 << 20
 #: Distinct phrases that a task holds before it hands on their counts.
-HELD_PHRASES = 400_000
+HELD_PHRASES = 600_000
 
 #: Bytes: A-Z to lower case, marks that end a piece to line feed, tab to blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
@@ -157,24 +159,23 @@ def _lang_hashes(names: list[str]) -> np.ndarray:
 
 
 def _count_runs(length: int, bitmaps):
-    """Counts of the runs of ``length`` words: (lang, key, n) per slice, the low bits
-    of a key being the shard."""
+    """Counts of the runs of ``length`` words: (key, n) per slice, a key being a hash of
+    language and run with the shard in its low bits."""
     def run(batches):
         held = [b.value for b in bitmaps]
         low = np.uint64((1 << SHARD_BITS) - 1)
         for words, names in _slices(batches):
             for k, (at, h) in enumerate(words.runs(_lang_hashes(names), held, length), 1):
                 if k == length and len(at):
-                    key, first, n = np.unique((h & ~low) | words.shard[at].astype(np.uint64), return_index=True, return_counts=True)
-                    lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[at[first]], pa.int32()), pa.array(names, pa.string()))
-                    yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())],
-                                                     names=["lang", "key", "n"])
+                    key, n = np.unique((h & ~low) | words.shard[at].astype(np.uint64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
     return run
 
 
 def _count_phrases(bitmaps, max_words: int):
-    """Exact counts of the phrases that the bitmaps let through: (lang, words, phrase, n)."""
+    """Exact counts of the phrases that the bitmaps let through: (lang, words, phrase,
+    n); 0 words and no phrase stand for all words of the language."""
     def run(batches):
         held = [b.value for b in bitmaps]
         counts: dict[tuple[str, int], Counter] = {}
@@ -188,6 +189,8 @@ def _count_phrases(bitmaps, max_words: int):
             counts.clear()
 
         for words, names in _slices(batches):
+            for code, n in enumerate(np.bincount(words.lang, minlength=len(names)).tolist()):
+                counts.setdefault((names[code], 0), Counter())[b""] += n
             for k, (at, h) in enumerate(words.runs(_lang_hashes(names), held, max_words), 1):
                 at = at[_held(held[k - 1], h)]
                 lang = words.lang[at]
@@ -223,28 +226,29 @@ def frequent_phrases(docs: DataFrame, scratch: C.Scratch, support: int = SUPPORT
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
-    shard = F.col("key").bitwiseAND((1 << SHARD_BITS) - 1).alias("shard")
+    shard = F.col("key").bitwiseAND((1 << SHARD_BITS) - 1).cast("int")
     bitmaps: list = []
 
     def mined(length: int) -> DataFrame:
-        return (rows.mapInArrow(_count_runs(length, bitmaps), "lang string, key long, n long")
-                .groupBy("lang", "key").agg(F.sum("n").alias("n")))
+        return rows.mapInArrow(_count_runs(length, bitmaps), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
     words = scratch.cut(mined(1), "words")
-    per_shard = words.groupBy("lang", shard).agg(F.sum("n").alias("held"))
-    totals = scratch.cut(per_shard.groupBy("lang").agg(F.sum("held").alias("n")), "totals")
-    # the least count c with c / support >= the shard's share of the language's words
-    local = per_shard.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * held + n - 1) div n").alias("least"))
-    local = scratch.cut(local, "local")
+    size = {r["shard"]: r["n"] for r in words.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    least = [max(1, -(-support * size.get(s, 0) // max(1, sum(size.values())))) for s in range(shards)]
+    local = F.element_at(F.array(*[F.lit(x) for x in least]), shard + 1)
     for length in range(1, max_words + 1):
-        counted = (words if length == 1 else mined(length)).withColumn("shard", shard)
-        bitmaps.append(sc.broadcast(_bitmap(counted.join(local, ["lang", "shard"]).where("n >= least"))))
-    counted = rows.mapInArrow(_count_phrases(bitmaps, max_words), "lang string, words int, phrase string, n long")
-    phrases = scratch.cut(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support), "phrases")
+        frequent = (words if length == 1 else mined(length)).where(F.col("n") >= local)
+        # what it has at most: its counts, and least - 1 in every shard that does not report it
+        most = F.sum(F.col("n") - local + 1) + F.lit(sum(least) - len(least))
+        union = frequent.groupBy(F.col("key").bitwiseAND(~((1 << SHARD_BITS) - 1)).alias("key")).agg(most.alias("most"))
+        bitmaps.append(sc.broadcast(_bitmap(union.where(F.col("most") >= support))))
+    counted = (rows.mapInArrow(_count_phrases(bitmaps, max_words), "lang string, words int, phrase string, n long")
+               .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")))
+    counted = scratch.cut(counted.where((F.col("words") == 0) | (F.col("f") >= support)), "phrases")
     for b in bitmaps:
         b.destroy()
-    scratch.drop("words", "local")
-    return phrases, totals
+    scratch.drop("words")
+    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(phrases: DataFrame, totals: DataFrame, top: int = TOP, covered_percent: int = COVERED_PERCENT) -> DataFrame:
