@@ -14,28 +14,28 @@ first, until one partition remains; there the last open windows are run together
 a single window may stay part full.  Each round is a written table, a fraction
 ``1 / fan`` of the one before.
 
-Texts are encoded by the ``tokenizers`` library.  A byte-level vocabulary never joins
-bytes across a single blank between two visible characters, so texts are cut there
-and each distinct chunk is encoded once (a memo of bounded size).
+Ids are those of the ``tokenizers`` library for the same vocabulary; they are made from
+its ranks file, which takes a quarter of the time and gives equal ids (tested).
 
 Defined results: null or empty text is the end id alone; a null doc_id is carried;
-repeated rows are documents of their own; a text of any length is encoded in slices
+repeated rows are documents of their own; a text of any length is encoded whole
 and its ids held as packed numbers; equal lengths go to the window opened first; an
 empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import bisect
 import functools
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,66 +47,26 @@ WINDOWS = 64
 MAX_GAP = 8
 FAN = 16
 END_ID = 0
-TOKENIZER = "byte_bpe_50k.json"
-#: Characters that are encoded at a time, and chunks that are remembered.
-SLICE_CHARS, MEMO_CHUNKS = 1 << 20, 300_000
+#: Ranks file of the vocabulary, below the public tokenizers or as a whole path.
+RANKS = "byte_bpe_50k.tiktoken"
+SPECIAL = {"<|endoftext|>": 50_256}
 #: Rows of one output batch.
 OUT_ROWS = 2_000
 
-#: A blank between two characters that are surely visible; the chunk begins with it.
-CHUNK_START = re.compile("(?<=[!-~¡-¬®-ɏ])(?= [!-~¡-¬®-ɏ])")
-
-
-class Encoder:
-    """Token ids of texts; every distinct chunk is encoded once."""
-
-    def __init__(self, tokenizer: str = TOKENIZER):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if not os.path.isabs(tokenizer):
-            import public_tokenizers
-            tokenizer = str(public_tokenizers.path(tokenizer))
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.memo: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [CHUNK_START.split(t) for t in texts]
-        unseen = list(set(itertools.chain.from_iterable(chunks)).difference(self.memo))
-        if len(self.memo) + len(unseen) > MEMO_CHUNKS:
-            self.memo = {}
-            unseen = list(set(itertools.chain.from_iterable(chunks)))
-        for chunk, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.memo[chunk] = e.ids
-        get = self.memo.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(get, c)), dtype=np.uint32) for c in chunks]
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        waiting: list[str] = []
-        size = 0
-        for t in texts:
-            t = t or ""
-            if len(t) > SLICE_CHARS:
-                yield from self._encode(waiting)
-                waiting, size = [], 0
-                yield np.concatenate([self._encode([s])[0] for s in _slices(t)])
-                continue
-            waiting.append(t)
-            size += len(t)
-            if size > SLICE_CHARS:
-                yield from self._encode(waiting)
-                waiting, size = [], 0
-        yield from self._encode(waiting)
-
-
-def _slices(text: str) -> Iterator[str]:
-    """A long text in parts that begin where a chunk begins."""
-    at = 0
-    while len(text) - at > SLICE_CHARS and (m := CHUNK_START.search(text, at + SLICE_CHARS)):
-        yield text[at:m.start()]
-        at = m.start()
-    yield text[at:]
+
+@functools.cache
+def encoding(ranks: str = RANKS) -> tiktoken.Encoding:
+    """The byte-level encoding of a ranks file, one per Python worker."""
+    import public_tokenizers
+
+    with open(ranks if os.path.isabs(ranks) else public_tokenizers.path(ranks), "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+
+
+def encode(text: str | None, ranks: str = RANKS) -> np.ndarray:
+    """The ids of a whole text; the strings of special tokens are those tokens."""
+    return encoding(ranks).encode_to_numpy(text or "", allowed_special="all")
 
 
 class Windows:
@@ -196,22 +156,16 @@ def _batches(rows: Iterator[tuple[list, bool]], id_type: pa.DataType, level: int
 _SCHEMA = "doc_id {}, start long, ids array<int>, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
-@functools.cache
-def encoder_of(tokenizer: str) -> Encoder:
-    """One encoder per Python worker, so that its memo outlives a task."""
-    return Encoder(tokenizer)
-
-
-def pack(docs: DataFrame, scratch: C.Scratch, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH,
+def pack(docs: DataFrame, scratch: C.Scratch, ranks: str = RANKS, end_id: int = END_ID, length: int = LENGTH,
          windows: int = WINDOWS, max_gap: int = MAX_GAP, fan: int = FAN) -> DataFrame:
     """Per piece: doc_id, start (ids of its document before it), ids, doc_tokens,
     sequence_id, offset (ids before it in the sequence)."""
     schema = _SCHEMA.format(docs.schema["doc_id"].dataType.simpleString())
 
     def encoded(batches):
-        encoder = encoder_of(tokenizer)
         for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids = encode(text.as_py(), ranks)
                 yield doc, 0, np.append(ids, np.uint32(end_id)), len(ids) + 1
 
     def again(batches):

@@ -177,16 +177,11 @@ def test_packing_rounds(spark):
     assert sum(r["n_tokens"] for r in packed.values()) == sum(len(r[2]) for r in rows)
 
 
-def test_chunks_are_the_tokenizer_s_own(tokenizer):
-    """Encoding chunk by chunk gives the ids of the whole text, in slices too."""
+def test_ids_are_those_of_the_tokenizer(spark, tokenizer):
     rng = random.Random(5)
-    alphabet = "ab'stZ09.,!<|>_- \t\n\r\x0b ­ éß日́😀\x00"
-    texts = ["".join(rng.choices(alphabet + " " * 6, k=rng.randrange(60))) for _ in range(3000)] + [t or "" for t in TEXTS]
-    encoder = op12_packing.Encoder()
-    got = [x.tolist() for x in encoder.encode(texts)]
-    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    small, op12_packing.SLICE_CHARS = op12_packing.SLICE_CHARS, 40
-    try:
-        assert [x.tolist() for x in op12_packing.Encoder().encode(texts)] == got
-    finally:
-        op12_packing.SLICE_CHARS = small
+    alphabet = "ab'stZ09.,!<|>_- \t\n\r\x0b\x85\u00a0\u3000\xad éß日́😀\x00١Ⅷ"
+    texts = ["".join(rng.choices(alphabet + " " * 6, k=rng.randrange(60))) for _ in range(5000)] + [t or "" for t in TEXTS]
+    texts += [f"{a}<|endoftext|>{b}" for a in ("", " ", "x", "x ", "\n") for b in ("", " ", "y", "  y")] + ["q" * 30_000, " " * 30_000]
+    texts += [r["text"] or "" for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))
+              for r in C.table(spark, SF01, t).select(F.col(c).alias("text")).collect()]
+    assert [op12_packing.encode(t).tolist() for t in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
