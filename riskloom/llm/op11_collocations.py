@@ -47,8 +47,12 @@ MAX_WORDS = 4
 TOP = 2_000
 #: A candidate inside a longer one with this share of its count is dropped.
 COVERED_PERCENT = 80
-#: Logical shards; a power of two of them at most fits the low bits of a key.
-SHARDS, SHARD_BITS = 6, 3
+#: Logical shards, their number in the low bits of a key.  Few are best: the higher the
+#: local support, the closer the union is to the frequent phrases.
+SHARDS, SHARD_BITS = 3, 3
+#: Bytes of input, by the optimizer's estimate, that a task of the passes over repeated
+#: keys takes at least, where there are two tasks for every core.
+TASK_BYTES = 1 << 30
 BITMAP_BITS = 26
 #: Bytes of text whose runs are counted at a time.
 SLICE_BYTES = 2 << 20
@@ -205,6 +209,14 @@ def _count_phrases(bitmaps, max_words: int):
     return run
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Fewer, longer scan tasks: counts of words and of frequent phrases meet in the
+    task, so that the rows shuffled do not grow with splits times phrases."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return rows.coalesce(min(tasks, 2**31 - 1))  # a frame of unknown size counts as the largest
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """The bits of the keys' top ``BITMAP_BITS`` bits, put together by Spark in pieces
     of 4 KB; at most ``2**BITMAP_BITS`` bits in all."""
@@ -230,7 +242,8 @@ def frequent_phrases(docs: DataFrame, scratch: C.Scratch, support: int = SUPPORT
     bitmaps: list = []
 
     def mined(length: int) -> DataFrame:
-        return rows.mapInArrow(_count_runs(length, bitmaps), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        read = _merged(rows) if length == 1 else rows
+        return read.mapInArrow(_count_runs(length, bitmaps), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
     words = scratch.cut(mined(1), "words")
     size = {r["shard"]: r["n"] for r in words.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}  # a row a shard
@@ -242,7 +255,7 @@ def frequent_phrases(docs: DataFrame, scratch: C.Scratch, support: int = SUPPORT
         most = F.sum(F.col("n") - local + 1) + F.lit(sum(least) - len(least))
         union = frequent.groupBy(F.col("key").bitwiseAND(~((1 << SHARD_BITS) - 1)).alias("key")).agg(most.alias("most"))
         bitmaps.append(sc.broadcast(_bitmap(union.where(F.col("most") >= support))))
-    counted = (rows.mapInArrow(_count_phrases(bitmaps, max_words), "lang string, words int, phrase string, n long")
+    counted = (_merged(rows).mapInArrow(_count_phrases(bitmaps, max_words), "lang string, words int, phrase string, n long")
                .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")))
     counted = scratch.cut(counted.where((F.col("words") == 0) | (F.col("f") >= support)), "phrases")
     for b in bitmaps:

@@ -67,7 +67,7 @@ def odd_rows():
 SCHEMA = "doc_id long, text string, lang string, shard string, key string, n string, phrase string, `a.b` string"
 
 
-@pytest.mark.parametrize("shards,slice_bytes", [(6, 1 << 22), (1, 50), (8, 700)])
+@pytest.mark.parametrize("shards,slice_bytes", [(3, 1 << 22), (1, 50), (8, 700)])
 def test_matches_brute_force(spark, odd_rows, monkeypatch, shards, slice_bytes):
     """Whatever the shards and the slices."""
     monkeypatch.setattr(P, "SLICE_BYTES", slice_bytes)
