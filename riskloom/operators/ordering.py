@@ -15,6 +15,9 @@ from riskloom.functions import scalar as S
 
 #: Slices of a stratum in exact folds; only the plan depends on it.
 HASH_PARTS = 1024
+#: Keys that one task or the driver holds while a deep page is looked for, and rows
+#: before a page that are simply skipped.
+SELECT_KEYS = 4096
 
 
 def _order(c: Column, direction: str) -> Column:
@@ -29,10 +32,102 @@ def sort_by(df: DataFrame, col: str, direction: str = "desc", tiebreak: Sequence
 
 def page(df: DataFrame, col: str, direction: str, tiebreak: Sequence[str], page_no: int = 1,
          size: int = 50) -> DataFrame:
-    """SL-2: offset page (1-based page, 1 <= size <= 200)."""
+    """SL-2: offset page (1-based page, 1 <= size <= 200).
+
+    A page that starts beyond ``SELECT_KEYS`` rows is found by its first key
+    (:func:`key_at`) and read from there, so that no task takes more than
+    ``SELECT_KEYS`` keys or ``size`` rows, however deep the page."""
     if page_no < 1 or not (1 <= size <= 200):
         raise ValueError("page >= 1 and 1 <= size <= 200")
-    return sort_by(df, col, direction, tiebreak).offset((page_no - 1) * size).limit(size)
+    offset = (page_no - 1) * size
+    if offset <= SELECT_KEYS:
+        return sort_by(df, col, direction, tiebreak).offset(offset).limit(size)
+    order = _Order(df, col, direction, tiebreak)
+    found = key_at(order, offset)
+    if found is None:
+        return df.limit(0)
+    key, skip = found
+    return order.sorted(df.where(~order.before(key))).offset(skip).limit(size)
+
+
+class _Order:
+    """The order of :func:`sort_by` over a frame's rows, and comparisons with a key
+    (one value per order column)."""
+
+    def __init__(self, df: DataFrame, col: str, direction: str, tiebreak: Sequence[str]):
+        # (expression, ascending, missing values last)
+        self.terms = [(S.order_key(df, col), direction == "asc", True), *[(F.col(c), True, False) for c in tiebreak]]
+        self.keys = df.select(*[e.alias(f"k{i}") for i, (e, _, _) in enumerate(self.terms)])
+        self.types = [f.dataType for f in self.keys.schema.fields]
+
+    def _columns(self, exprs: Sequence[Column]) -> list[Column]:
+        return [(F.asc_nulls_last(e) if last else F.asc_nulls_first(e)) if up else F.desc_nulls_last(e)
+                for e, (_, up, last) in zip(exprs, self.terms)]
+
+    def sorted(self, df: DataFrame) -> DataFrame:
+        return df.orderBy(*self._columns([e for e, _, _ in self.terms]))
+
+    def sorted_keys(self, keys: DataFrame) -> DataFrame:
+        return keys.orderBy(*self._columns([F.col(c) for c in keys.columns]))
+
+    def before(self, key: Sequence, of_keys: bool = False) -> Column:
+        """Whether a row comes before the key; never null."""
+        out = F.lit(False)
+        for i, (e, up, last) in reversed(list(enumerate(self.terms))):
+            e, v = F.col(f"k{i}") if of_keys else e, F.lit(key[i]).cast(self.types[i])
+            if key[i] is None:
+                less = e.isNotNull() if last else F.lit(False)
+            else:
+                less = F.coalesce(e < v if up else e > v, F.lit(not last))
+            out = less | (e.eqNullSafe(v) & out)
+        return out
+
+
+def key_at(order: _Order, rank: int) -> tuple[tuple, int] | None:
+    """The key of the row at 0-based ``rank`` and how many rows of equal key precede
+    it (0 where the tiebreak is unique); None beyond the last row.
+
+    Selection by sampling: two keys of a sample bracket the rank, one pass counts the
+    rows below and inside, and the search goes on inside, where a sixteenth of the
+    rows is left a round.  Up to ``SELECT_KEYS`` keys inside are the sample and hold
+    the answer.  A bracket that missed is an exact statement as well: the search goes
+    on at its other side.  The driver sees ``SELECT_KEYS`` keys a round.
+    """
+    keys, below, inside = order.keys, 0, order.keys.count()
+    if rank >= inside:
+        return None
+    while True:
+        names = keys.columns
+        some = keys
+        if inside > SELECT_KEYS:  # cut by hash first, so that a task keeps its share only
+            share = 1.5 * SELECT_KEYS / inside
+            some = keys.where(F.pmod(F.xxhash64(F.lit(inside), *names), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+            some = some.orderBy(F.xxhash64(F.lit(inside), *names)).limit(SELECT_KEYS)
+        sample = [tuple(r) for r in order.sorted_keys(some).collect()]
+        if inside <= SELECT_KEYS:
+            at = rank - below
+            return sample[at], at - sample.index(sample[at])
+        if not sample:  # all rows share a few keys whose hashes were cut off
+            sample = [tuple(keys.first())]
+        at, slack = (rank - below) * len(sample) / inside, 2 * len(sample) ** 0.5 + 1
+        low, high = sample[max(0, int(at - slack))], sample[min(len(sample) - 1, int(at + slack))]
+        is_less, is_more = order.before(low, True), ~order.before(high, True) & ~_equal(high, order.types)
+        less, more = (int(x or 0) for x in keys.agg(F.sum(is_less.cast("long")), F.sum(is_more.cast("long"))).first())
+        if rank < below + less:
+            keys, inside = keys.where(is_less), less
+        elif rank >= below + inside - more:
+            keys, below, inside = keys.where(is_more), below + inside - more, more
+        else:
+            keys, below, inside = keys.where(~is_less & ~is_more), below + less, inside - less - more
+            if low == high:
+                return low, rank - below
+
+
+def _equal(key: Sequence, types: Sequence) -> Column:
+    out = F.lit(True)
+    for i, v in enumerate(key):
+        out = out & F.col(f"k{i}").eqNullSafe(F.lit(v).cast(types[i]))
+    return out
 
 
 def page_info(df: DataFrame, page_no: int, size: int) -> DataFrame:

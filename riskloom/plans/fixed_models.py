@@ -17,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.models import gbt as G
+from riskloom.models import scoring as SC
 from riskloom.models import treeshap as TS
+from riskloom.operators import aggregates as AG
 from riskloom.operators import relational as R
+from riskloom.operators.ordering import kfold
 from riskloom.plans.fixture import admissions, with_admissions
-from riskloom.plans.models import ADM_SPEC, _once, admission_features, admission_wide, score_table
+from riskloom.plans.surface import _auc_sql
+from riskloom.plans.models import ADM_SPEC, _once, admission_features, admission_wide
 from riskloom.session import scratch_path
 from riskloom.sources import tables as T
 from riskloom.streaming import monitor as M
@@ -195,13 +199,13 @@ def q_score_table(spark, d):
     """A payload without length of stay, over the first admission as base row."""
     wide = admission_wide(spark, d)
     payload = wide.select("admission_id", "score_raw", "segment", F.lit(None).cast("double").alias("los"))
-    return score_table(spark, payload, wide.orderBy("admission_id").limit(1), *models(spark, d)).select(*_SCORES)
+    return SC.score_table(payload, wide.orderBy("admission_id").limit(1), ADM_SPEC, *models(spark, d), "admission_id").select(*_SCORES)
 
 
 @register("ml9_fixed_trees", _scored_sql(f"{_SCORES_SQL} WHERE patient_id = 100 ORDER BY admission_id LIMIT 1"))
 def q_detail(spark, d):
-    one = R.lookup(feats(spark, d), "patient_id", 100, order_by=["admission_id"])
-    return G.ensemble(*models(spark, d), one).select(*_SCORES)
+    return SC.detail(admissions(spark, d), feats(spark, d), "patient_id", 100, "admission_id", ADM_SPEC.names,
+                     *models(spark, d)).select(*_SCORES)
 
 
 @register("pr6_fixed_trees", _scored_sql(
@@ -234,3 +238,66 @@ def q_stream(spark, d):
     M.run_to_completion(T.predictions_stream_sink(G.ensemble(*models(spark, d), stream), f"{base}/out", f"{base}/_checkpoint", key="admission_id",
                                                   probs={c: c for c in ("prob_a", "prob_b", "ensemble_prob")}, tier="risk_tier"))
     return spark.read.parquet(f"{base}/out").drop("predicted_at", "batch_id")
+
+
+# ---- metrics of the fixed trees ------------------------------------------------
+def in_folds(spark, d):
+    """Both models' probabilities with the folds that validation deals."""
+    ma, mb = models(spark, d)
+    both = G.predict_proba(mb, G.predict_proba(ma, feats(spark, d), "gbt_a"), "gbt_b")
+    return kfold(both.select("admission_id", "label", "gbt_a", "gbt_b"), "label", "admission_id")
+
+
+def _fold_auc(model: str, column: str) -> str:
+    """CTEs of one model's AUC per fold, from ``fo``."""
+    run = _auc_sql(f"(SELECT fold, label, {column} AS score FROM fo)", "fold").replace("sc AS", f"sc_{model} AS").replace(
+        "run AS", f"run_{model} AS").replace("FROM sc)", f"FROM sc_{model})")
+    return run + (f", auc_{model} AS (SELECT '{model}' AS model, fold, sum(fp * ((cum_tp - tp) + tp / 2.0)) / (sum(tp) * sum(fp)) AS auc "
+                  f"FROM run_{model} GROUP BY fold)")
+
+
+_FOLDS = """, fo AS (SELECT label, pa, pb, CAST((row_number() OVER (PARTITION BY label
+  ORDER BY substr(md5('42:' || CAST(admission_id AS VARCHAR)), 1, 13), admission_id) - 1) % 5 AS INTEGER) AS fold FROM q)"""
+_CV = _FOLDS + _fold_auc("gbt_a", "pa") + _fold_auc("gbt_b", "pb") + ", cv AS (SELECT * FROM auc_gbt_a UNION ALL SELECT * FROM auc_gbt_b)"
+_EVAL = _auc_sql("(SELECT label, e AS score FROM q)", None) + """, ev AS (
+  SELECT round(sum(fp * ((cum_tp - tp) + tp / 2.0)) / (sum(tp) * sum(fp)), 6) AS auc,
+         round(sum(tp * (cum_tp / (cum_tp + cum_fp))) / sum(tp), 6) AS average_precision FROM run)"""
+
+
+@register("ml4_fixed_trees", _scored_sql(_CV + " SELECT model, fold, round(auc, 6) AS auc FROM cv"))
+def q_fold_auc(spark, d):
+    cv = G.cross_validate(in_folds(spark, d), "label", ["gbt_a", "gbt_b"])
+    return cv.select("model", "fold", F.round("auc", 6).alias("auc"))
+
+
+@register("ml7_fixed_trees", _scored_sql(", phi AS (SELECT " + _phi(TREES_A).replace("round(", "(").replace(", 6)", ")") + " FROM f) " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(avg(abs(phi_{f})), 4) AS mean_shap FROM phi" for f in USED)))
+def q_importance(spark, d):
+    rows = TS.importance(models(spark, d)[0], feats(spark, d), "features", ADM_SPEC.names)
+    return rows.where(F.col("feature").isin(*USED))
+
+
+@register("ml10_fixed_trees", _scored_sql(_EVAL + " SELECT auc, average_precision FROM ev"))
+def q_train_eval(spark, d):
+    return G.train_eval(G.ensemble(*models(spark, d), feats(spark, d)), "label")
+
+
+@register("io6_fixed_trees", _scored_sql(_CV + _EVAL + """
+SELECT 'metric' AS kind, model || '_cv_auc_mean' AS key, round(avg(auc), 4) AS value FROM cv GROUP BY model
+UNION ALL SELECT 'metric', model || '_cv_auc_std', round(stddev_pop(auc), 4) FROM cv GROUP BY model
+UNION ALL SELECT 'metric', 'ensemble_train_auc', auc FROM ev
+UNION ALL SELECT 'metric', 'ensemble_train_ap', average_precision FROM ev
+UNION ALL SELECT 'metric', 'n_rows', count(*) FROM f
+UNION ALL SELECT 'metric', 'positive_rate', round(avg(label), 6) FROM f
+UNION ALL SELECT 'param', 'n_features', 24"""))
+def q_run_metrics(spark, d):
+    """The run's parameters and metrics through the sink and back."""
+    ev = G.train_eval(G.ensemble(*models(spark, d), feats(spark, d)), "label").first()
+    balance = AG.class_balance(feats(spark, d), "label").first()
+    cv = AG.cv_summary(G.cross_validate(in_folds(spark, d), "label", ["gbt_a", "gbt_b"]), "model", "auc").collect()  # a row a model
+    metrics = {f"{r['model']}_cv_auc_{k}": r[k] for r in cv for k in ("mean", "std")}
+    metrics |= {"ensemble_train_auc": ev["auc"], "ensemble_train_ap": ev["average_precision"], "n_rows": balance["n"],
+                "positive_rate": round(balance["positive_rate"], 6)}
+    path = T.roundtrip_path(spark, "runs")
+    T.run_metrics_sink(spark, {"n_features": len(ADM_SPEC.names)}, metrics, path)
+    return spark.read.parquet(path).select("kind", "key", F.col("value").cast("double").alias("value"))

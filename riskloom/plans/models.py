@@ -12,6 +12,7 @@ from riskloom import spec
 from riskloom.functions import features as FE
 from riskloom.functions import scalar as S
 from riskloom.models import gbt as G
+from riskloom.models import scoring as SC
 from riskloom.models import treeshap as TS
 from riskloom.operators import relational as R
 from riskloom.operators.windows import prior_count
@@ -187,23 +188,6 @@ def q_attach_scores(spark, d):
     return R.attach_scores(admissions(spark, d), scores, "admission_id")
 
 
-def score_table(spark: SparkSession, payload: DataFrame, base: DataFrame, ma, mb, top_n: int = 10) -> DataFrame:
-    """ML-8: overlay the payload on a base row, derive features with the same
-    spec as training (no imputation; absent columns take the base row),
-    blend both models and explain model A."""
-    cols = [c for c in base.columns if c not in ("admission_id",)]
-    filled = R.with_defaults(payload, base, cols)
-    f = FE.derive_features(filled, ADM_SPEC, keep=["admission_id"], impute=False)
-    arr = R.assemble_array(f, ADM_SPEC.names, keep=["admission_id"])
-    arr = spread_small(arr)  # the explanation is CPU-heavy Python per row
-    scored = G.ensemble(ma, mb, arr, closed="left")
-    # Explain the scored rows themselves: score columns ride through the
-    # partition function, so there is one pipeline and no self-join.
-    keep = ["admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
-    ex = TS.explain(ma, scored, "features", keep, ADM_SPEC.names, top_n=top_n)
-    return ex.select(*keep, "explanation")
-
-
 @register("ml8_score_table")
 def q_score_table(spark, d):
     _, ma, mb = fitted(spark, d)
@@ -211,7 +195,7 @@ def q_score_table(spark, d):
     base = wide.orderBy("admission_id").limit(1)
     payload = wide.select(
         "admission_id", "score_raw", "priority", "status", F.lit(None).cast("double").alias("los"))
-    out = score_table(spark, payload, base, ma, mb)
+    out = SC.score_table(payload, base, ADM_SPEC, ma, mb, "admission_id")
     return out.select("admission_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier",
                       G.F.to_json("explanation").alias("explanation_json"))
 
@@ -219,14 +203,7 @@ def q_score_table(spark, d):
 @register("ml9_detail")
 def q_detail(spark, d):
     feats, ma, mb = fitted(spark, d)
-    one = R.lookup(feats, "patient_id", 100, order_by=["admission_id"])
-    scored = G.ensemble(ma, mb, one)
-    keep = ["admission_id", "patient_id", "prob_a", "prob_b", "ensemble_prob", "risk_tier"]
-    ex = TS.explain(ma, scored, "features", keep, ADM_SPEC.names, top_n=12)
-    # The stored row beside its scores and drivers, as one JSON record.
-    row = R.lookup(admissions(spark, d), "patient_id", 100, order_by=["admission_id"])
-    row = row.select("admission_id", S.records(row, row.columns, "patient"))
-    return ex.join(row, "admission_id").select(*keep, "explanation", "patient")
+    return SC.detail(admissions(spark, d), feats, "patient_id", 100, "admission_id", ADM_SPEC.names, ma, mb, record="patient")
 
 
 @register("ml10_train_eval")

@@ -345,6 +345,14 @@ def q_page(spark, d):
     return SL.page(adm.select(*PATIENT_COLS), "score", "desc", ["admission_id"], page_no=3, size=50)
 
 
+@register("sl2_deep_page", with_admissions(f"""
+SELECT {PATIENT_COLS_SQL} FROM admissions ORDER BY score DESC NULLS LAST, admission_id LIMIT 50 OFFSET 9950"""))
+def q_deep_page(spark, d):
+    """A page beyond the rows that are simply skipped: found by its first key."""
+    adm = admissions(spark, d)
+    return SL.page(adm.select(*PATIENT_COLS), "score", "desc", ["admission_id"], page_no=200, size=50)
+
+
 @register("sl3_page_info", with_admissions("""
 SELECT count(*) AS total, 2 AS page, 25 AS page_size, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages
 FROM admissions WHERE hospital_id = 7 AND risk_tier = 'High'"""))

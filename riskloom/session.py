@@ -99,9 +99,16 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's bytes; no job is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
-    """At least one partition per core for CPU-heavy steps.  Only an input of
-    fewer partitions is dealt anew; a large one keeps the partitions its size
-    gave it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """At least one partition per core for CPU-heavy steps.  Only an input of less
+    than a scan split's bytes per core is dealt anew; a large one keeps the
+    partitions its size gave it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if input_bytes(df) < cores * split else df

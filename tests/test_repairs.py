@@ -111,13 +111,14 @@ def test_folds_take_few_exchanges(spark):
 
 def test_blend_explanation_is_the_weighted_sum(spark):
     import numpy as np
-    a = TS.PathTable(np.array([[0, 1]]), np.array([[-np.inf, 0.0]]), np.array([[0.5, np.inf]]), np.array([[0.5, 0.4]]),
-                     np.array([2.0]), np.array([2]), 0.4, 2)
-    b = TS.PathTable(np.array([[1]]), np.array([[-np.inf]]), np.array([[1.0]]), np.array([[0.3]]), np.array([-1.0]), np.array([1]), -0.3, 2)
+    leaf = lambda v, c: {"prediction": v, "cover": c, "left": -1, "right": -1}
+    split = lambda f, t, c, left, right: {"feature": f, "threshold": t, "cover": c, "left": left, "right": right}
+    a = TS.table_of([({0: split(0, 0.5, 10.0, 1, 2), 1: leaf(2.0, 4.0), 2: split(1, 0.0, 6.0, 3, 4), 3: leaf(-1.0, 1.0), 4: leaf(0.5, 5.0)}, 0, 1.0)], 2)
+    b = TS.table_of([({0: split(1, 1.0, 8.0, 1, 2), 1: leaf(-1.0, 3.0), 2: leaf(0.2, 5.0)}, 0, 1.0), ({0: leaf(0.7, 3.0)}, 0, 1.0)], 2)
     x = np.random.default_rng(0).normal(size=(30, 2))
     both = TS.combine([a, b], [0.25, 0.75])
     np.testing.assert_allclose(TS._shap_batch(x, both), 0.25 * TS._shap_batch(x, a) + 0.75 * TS._shap_batch(x, b))
-    assert math.isclose(both.base_value, 0.25 * 0.4 + 0.75 * -0.3)
+    assert math.isclose(both.base_value, 0.25 * a.base_value + 0.75 * b.base_value) and math.isclose(b.base_value, (-3 + 1) / 8 + 0.7)
 
 
 def test_unique_rule(spark):
