@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.plans.fixture import admissions, table, with_admissions
+from riskloom.sources import curve as Z
 from riskloom.sources import tables as T
 
 QUERIES: dict = {}
@@ -72,3 +73,22 @@ def q_layout(spark, d):
     # Partition pruning on risk_tier, row-group skipping on score (min/max).
     return back.where((F.col("risk_tier") == "Critical") & (F.col("score") >= 0.9)) \
         .select("admission_id", "score", "risk_tier")
+
+
+_LOOKUPS = {"hospital": "hospital_id = 7", "tier": "risk_tier = 'Critical'", "score": "score >= 0.95",
+            "patient": "patient_id IN (100, 101)"}
+
+
+@register("io10_curve_layout", with_admissions(" UNION ALL ".join(
+    f"SELECT '{name}' AS lookup, admission_id, patient_id, hospital_id, risk_tier, score FROM admissions WHERE {cond}"
+    for name, cond in _LOOKUPS.items())))
+def q_curve_layout(spark, d):
+    """The four lookups of the scored table from one layout."""
+    path = T.roundtrip_path(spark, "scored-curve")
+    scored = admissions(spark, d).select("admission_id", "patient_id", "hospital_id", "risk_tier", "score")
+    Z.write_curve(scored, path, ["hospital_id", "risk_tier", "score"], keys=["patient_id"])
+    out = None
+    for name, cond in _LOOKUPS.items():
+        found = T.read_table(spark, path, scored.schema).where(cond).select(F.lit(name).alias("lookup"), *scored.columns)
+        out = found if out is None else out.unionByName(found)
+    return out
