@@ -70,8 +70,9 @@ def last_n(df: DataFrame, key: str, ts: str, n: int = 60, tiebreak: str | None =
 # WI-4 -----------------------------------------------------------------------
 def latest(df: DataFrame, key: str, ts: str, cols: Sequence[str], tiebreak: str | None = None) -> DataFrame:
     """Latest row per key as an aggregate (max_by), no sort; partial
-    aggregation keeps a hot key to one buffer per map task."""
-    order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.col(ts)
+    aggregation keeps a hot key to one buffer per map task.  A row without a time
+    is the oldest, and the latest of a key that has no other (a struct is never null)."""
+    order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.struct(F.col(ts))
     payload = F.struct(*[F.col(c) for c in [ts, *([tiebreak] if tiebreak else []), *cols]])
     return (df.groupBy(key).agg(F.max_by(payload, order).alias("_last"))
             .select(key, "_last.*"))

@@ -47,6 +47,15 @@ def q_csv(spark, d):
     return T.read_csv(spark, path, NATION_SCHEMA)
 
 
+@register("io3_csv_fields", "SELECT doc_id, text, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM documents")
+def q_csv_fields(spark, d):
+    """Texts with line breaks, quotes and commas, and missing values."""
+    path = T.roundtrip_path(spark, "documents-csv")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"))
+    T.write_csv(docs, path)
+    return T.read_csv(spark, path, docs.schema)
+
+
 @register("io4_json", "SELECT * FROM nation")
 def q_json(spark, d):
     path = T.roundtrip_path(spark, "nation-json")

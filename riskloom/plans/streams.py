@@ -136,9 +136,8 @@ def q_dead_letter(spark, d):
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events""")
 def q_sequence(spark, d):
     out, ck = _paths(spark, "sequence")
-    seq = M.sequence(_stream(spark, d), "user_id", "ts", "event_id")
-    M.run_to_completion(M.vitals_sink(seq, out, ck))
-    return spark.read.parquet(out)
+    M.run_to_completion(M.sequence_sink(_stream(spark, d).select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", out, ck))
+    return spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "t")
 
 
 @register("io8_vitals_source", "SELECT event_id, ts, user_id, event_type, value, props FROM events")

@@ -53,13 +53,23 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 # IO-3 -----------------------------------------------------------------------
+#: The usual CSV dialect: a quote inside a field is doubled, line breaks and blank edges
+#: belong to the field, an empty field is NULL and a quoted empty one is empty text.
+_CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: Stands for a missing field while a line is parsed; no text of a file should be this.
+_CSV_MISSING = "\x00"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Files with a header, as spreadsheet tools and pandas read them."""
+    df.write.mode(mode).options(**_CSV).csv(path)
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
+    """Read such files.  Fields may hold line breaks, for which a file is one task;
+    ``multi_line=False`` splits large files where no field does."""
+    return (spark.read.schema(schema).options(**_CSV, multiLine=multi_line, nullValue=_CSV_MISSING, emptyValue="").csv(path))
 
 
 # IO-4 -----------------------------------------------------------------------
