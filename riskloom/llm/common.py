@@ -67,6 +67,12 @@ def numbered(docs: DataFrame, scratch: Scratch, **more: Column) -> DataFrame:
                                    *[c.alias(k) for k, c in more.items()]), "numbered")
 
 
+def as_text(name: str) -> Column:
+    """A number as text, for the way through pandas: beside a null it would become a
+    double there, and large ids would change."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, at most some ten thousand, over as many tasks as there are cores."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

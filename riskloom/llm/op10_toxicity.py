@@ -300,7 +300,8 @@ def score_documents(docs: DataFrame, lex: Lexicon) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score(pdf["text"], lex)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, "doc_id long, score double")
+    scores = docs.select(C.as_text("doc_id"), "text").mapInPandas(scored, "doc_id string, score double")
+    return scores.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def reject_toxic(docs: DataFrame, lex: Lexicon, threshold: float = THRESHOLD) -> DataFrame:

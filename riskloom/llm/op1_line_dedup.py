@@ -189,8 +189,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, **options) -> DataF
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     drops = dropped_lines(docs, C.Scratch(spark, "lines"))
-    return _with_drops(docs, drops, "doc_id").mapInPandas(lambda it: _digest(it, MIN_CHARS),
-                                                "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    digests = _with_drops(docs, drops, C.as_text("doc_id")).mapInPandas(
+        lambda it: _digest(it, MIN_CHARS), "doc_id string, n_lines long, n_dropped long, kept_sha256 string")
+    return digests.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 SQL = """

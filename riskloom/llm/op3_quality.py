@@ -157,7 +157,8 @@ def fit(measured: DataFrame, labels: DataFrame, label: str = "quality", shrinkag
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_measure, "doc_id long, x array<double>")
+    measured = docs.select(C.as_text("doc_id"), "text").mapInPandas(_measure, "doc_id string, x array<double>")
+    return measured.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def score_measured(measured: DataFrame, model: Model | None) -> DataFrame:
@@ -168,7 +169,8 @@ def score_measured(measured: DataFrame, model: Model | None) -> DataFrame:
             s = model.score(x) if model else np.full(len(x), 0.5)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s})
 
-    return measured.mapInPandas(scored, "doc_id long, score double")
+    scores = measured.select(C.as_text("doc_id"), "x").mapInPandas(scored, "doc_id string, score double")
+    return scores.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -359,7 +359,8 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, links: Links = THIN) ->
     linked from ``links.percent`` on."""
     spark = docs.sparkSession
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
-    signed = scratch.cut(docs.mapInPandas(partial(_sign, links=links), "id long, n long, k1 long, k2 long, sig binary"), "signed")
+    signed = docs.select(C.as_text("id"), "text").mapInPandas(partial(_sign, links=links), "id string, n long, k1 long, k2 long, sig binary")
+    signed = scratch.cut(signed.withColumn("id", F.col("id").cast("long")), "signed")
     classes = (signed.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2")
                .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     classes = scratch.cut(classes.withColumnRenamed("k1", "cid"), "classes")

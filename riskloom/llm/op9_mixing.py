@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,11 +205,12 @@ def _spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _emit(batches, columns: list[str], text_at: int, chars_at: int | None):
     """Documents as often as the mix takes them; a copy has the words of the
-    blocks that the mix takes at least that often."""
-    for pdf in batches:
-        rows = []
-        for doc, size, pieces in zip(pdf["_doc"], pdf["size"], pdf["pieces"], strict=True):
-            doc = [doc[c] for c in columns]
+    blocks that the mix takes at least that often.  Other columns stay Arrow values."""
+    for b in batches:
+        fields = b.column("_doc").flatten()
+        whole, rows, texts, chars = fields[text_at], [], [], []
+        for i, (size, pieces) in enumerate(zip(b.column("size").to_pylist(), b.column("pieces").to_pylist(), strict=True)):
+            text = whole[i].as_py()
             cover = sorted((int(p["lo"]) + int(x), int(p["lo"]) + int(y), k) for p in pieces for x, y, k in p_runs(p))
             for copy in range(max(k for *_, k in cover)):
                 spans: list[tuple[int, int]] = []
@@ -218,13 +220,15 @@ def _emit(batches, columns: list[str], text_at: int, chars_at: int | None):
                             spans[-1] = (spans[-1][0], hi)
                         else:
                             spans.append((lo, hi))
-                row = list(doc)
-                if spans != [(0, size)]:
-                    row[text_at] = _spans(doc[text_at], spans)
-                    if chars_at is not None:
-                        row[chars_at] = len(row[text_at])
-                rows.append(row)
-        yield pd.DataFrame(rows, columns=columns)
+                cut = spans != [(0, size)]
+                rows.append(i)
+                texts.append(_spans(text, spans) if cut else text)
+                chars.append(len(texts[-1]) if cut or chars_at is None else fields[chars_at][i].as_py())
+        out = [f.take(pa.array(rows, pa.int64())) for f in fields]
+        out[text_at] = pa.array(texts, pa.string())
+        if chars_at is not None:
+            out[chars_at] = pa.array(chars, fields[chars_at].type)
+        yield pa.RecordBatch.from_arrays(out, names=columns)
 
 
 def p_runs(p) -> list[tuple[int, int, int]]:
@@ -255,7 +259,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     chars = cols.index("n_chars") if "n_chars" in cols else None
     scratch.keep_only("numbered", "taken")
     whole = keyed.join(per, "_id").select("_doc", "size", "pieces")
-    return whole.mapInPandas(lambda it: _emit(it, cols, cols.index("text"), chars), docs.schema)
+    return whole.mapInArrow(lambda it: _emit(it, cols, cols.index("text"), chars), docs.schema)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

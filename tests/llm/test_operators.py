@@ -114,7 +114,7 @@ def sets_of(texts):
     return out
 
 
-def brute_components(sets):
+def brute_components(sets, percent=85):
     comp = {d: d for d in sets}
 
     def root(x):
@@ -133,7 +133,7 @@ def brute_components(sets):
                 if (a, b) not in seen:
                     seen.add((a, b))
                     both = len(sets[a] & sets[b])
-                    if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                         x, y = root(a), root(b)
                         comp[max(x, y)] = min(x, y)
     return {d: root(d) for d in sets}
@@ -345,7 +345,7 @@ def test_pipeline(spark):
     lex = op10_toxicity.fit(docs, C.table(spark, SF001, "labels"))
     assert ids[1] == {r["doc_id"] for r in op10_toxicity.score_documents(docs, lex).where("score < 0.5").collect()}
     kept = {r["doc_id"]: r["text"] for r in steps[1].collect()}
-    comp = brute_components(sets_of(kept))
+    comp = brute_components(sets_of(kept), 80)
     assert ids[2] == {d for d, c in comp.items() if d == c}
     bad = {r["doc_id"] for r in op7_decontamination.matches(steps[2], C.table(spark, SF001, "benchmark"), "doc_id").collect()}
     assert ids[3] == ids[2] - bad and ids[4] <= ids[3] and ids[5] == ids[4]
