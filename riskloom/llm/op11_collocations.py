@@ -29,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,7 +58,9 @@ BITMAP_BITS = 26
 #: Bytes of text whose runs are counted at a time.
 SLICE_BYTES = 2 << 20
 #: Distinct phrases that a task holds before it hands on their counts.
-HELD_PHRASES = 600_000
+HELD_PHRASES = 1_000_000
+#: Rows of one output batch of phrases.
+OUT_ROWS = 50_000
 
 #: Bytes: A-Z to lower case, marks that end a piece to line feed, tab to blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
@@ -186,10 +189,13 @@ def _count_phrases(bitmaps, max_words: int):
 
         def flush():
             for (lang, k), c in counts.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(c), pa.string()), pa.array(np.full(len(c), k), pa.int32()),
-                     pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())],
-                    names=["lang", "words", "phrase", "n"])
+                left = iter(c.items())
+                while some := list(itertools.islice(left, OUT_ROWS)):
+                    phrases, n = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(some), pa.string()), pa.array([k] * len(some), pa.int32()),
+                         pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                        names=["lang", "words", "phrase", "n"])
             counts.clear()
 
         for words, names in _slices(batches):
