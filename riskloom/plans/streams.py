@@ -119,6 +119,16 @@ def q_current(spark, d):
     return snap.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
 
 
+@register("st4_current_evicting", SQL["st4_current"])
+def q_current_evicting(spark, d):
+    """The same with a state that idle keys leave; the delay covers the files' order."""
+    out, ck = _paths(spark, "current-evicting")
+    cur = M.current_evicting(_stream(spark, d), "user_id", "ts", "event_id", ("event_type", "value"), 86_400_000, "3650 days")
+    M.run_to_completion(M.batch_sink(cur, out, ck, "update"))
+    snap = M.latest_snapshot(spark.read.parquet(out), "user_id")
+    return snap.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
+
+
 @register("st5_dead_letter", """
 SELECT event_id, user_id, 'unknown key' AS error FROM events e
 WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_mktsegment <> 'MACHINERY')""")

@@ -37,6 +37,25 @@ def test_ids_beside_a_missing_one_in_histories(spark):
     assert got[2]["event_ids"] == [BIG + 7] and got[2]["ts_us"] == [5_000_000]
 
 
+def test_idle_keys_leave_the_state(spark):
+    """The watermark passes key 1 and key 3, then not key 2; results stay the batch twin's."""
+    base = base_path(spark)
+    parts = [[(1, 10, BIG + 1, 1.0), (1, 10, None, 0.0), (2, 10, BIG + 3, None), (3, 5, 1, 1.0)], [(2, 900, 4, 2.0), (1, 400, 5, 9.0)], [(2, 1000, 6, 3.0)], [(2, 1001, 7, 4.0)]]
+    rows = []
+    for part in parts:
+        rows += part
+        events(spark, part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = M.vitals_source(spark, f"{base}/in", SCHEMA, max_files_per_trigger=1)
+        cur = M.current_evicting(stream, "user_id", "ts", "event_id", ("value",), idle_ms=300_000, watermark="10 seconds")
+        M.run_to_completion(M.batch_sink(cur, f"{base}/out", f"{base}/ck", "update"))
+    snap = M.latest_snapshot(spark.read.parquet(f"{base}/out"), "user_id")
+    want = WI.latest(events(spark, rows), "user_id", "ts", ["value"], tiebreak="event_id")
+    cols = ["user_id", "ts", "event_id", "value"]
+    assert {tuple(r) for r in snap.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
+    held = spark.read.format("statestore").option("path", f"{base}/ck").option("stateVarName", "newest").load()
+    assert {r["key"][0] for r in held.collect()} == {2}
+
+
 def test_sequences_on_replay_and_with_missing_values(spark):
     base = base_path(spark)
     rows = [[(1, 10, BIG + 3, 0.0), (1, 10, None, 0.0), (1, 10, BIG + 1, 0.0), (None, 3, 7, 0.0)], [(1, 5, 4, 0.0), (2, 6, 5, 0.0), (None, None, 8, 0.0)],
