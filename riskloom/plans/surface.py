@@ -12,9 +12,11 @@ from riskloom.functions import scalar as S
 from riskloom.operators import aggregates as AG
 from riskloom.operators import ordering as SL
 from riskloom.operators import relational as R
+from riskloom.operators import sketches as SK
 from riskloom.operators import windows as WI
 from riskloom.plans.fixture import (EVENT_RANGES, HOSPITAL_DEFAULTS, admissions, hospital_dim, table,
                                     with_admissions)
+from riskloom.sources.tables import roundtrip_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -200,6 +202,25 @@ run AS (SELECT *, sum(tp) OVER ({part}ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRE
 """
 
 
+@register("ag11_merged_sketches", with_admissions("""
+SELECT risk_tier, count(*) AS n, round(avg(score), 6) AS score_mean, min(score) AS score_min, max(score) AS score_max,
+       TRUE AS median_within_bound FROM admissions GROUP BY risk_tier"""))
+def q_merged_sketches(spark, d):
+    """Eight batches sketched one by one, merged per tier; the median's true rank is
+    held against the stated bound."""
+    path = roundtrip_path(spark, "sketches")
+    adm = admissions(spark, d).select("admission_id", "risk_tier", "score")
+    for b in range(8):
+        SK.write_batch(SK.batch_sketches(adm.where(F.col("admission_id") % 8 == b), ["score"], by=["risk_tier"]), path, b)
+    found = SK.summary(SK.merged(spark, path, ["score"], by=["risk_tier"]), ["score"], by=["risk_tier"])
+    m = F.col("score_median")
+    ranks = adm.join(found, "risk_tier").groupBy("risk_tier").agg(F.count_if(F.col("score") < m).alias("below"), F.count_if(F.col("score") <= m).alias("upto"))
+    e = F.lit(SK.rank_error())
+    within = (F.col("below") / F.col("n") - e <= 0.5) & (F.col("upto") / F.col("n") + e >= 0.5)
+    return found.join(ranks, "risk_tier").select("risk_tier", "n", F.round("score_mean", 6).alias("score_mean"), "score_min", "score_max",
+                                                 within.alias("median_within_bound"))
+
+
 @register("ag13_cv_summary", with_admissions(_folds_sql() + _auc_sql("folds", "fold") + """
 , per AS (SELECT fold, sum(fp * ((cum_tp - tp) + tp / 2.0)) / (sum(tp) * sum(fp)) AS auc FROM run GROUP BY fold)
 SELECT 'auc' AS metric, count(*) AS n_folds, round(avg(auc), 4) AS mean, round(stddev_pop(auc), 4) AS std FROM per"""))
