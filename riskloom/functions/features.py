@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def learn_vocabulary(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]
 
     The values become column names of the result, so as many strings as the
     result has columns are on the driver.  For vocabularies that are too wide for
-    columns, :func:`one_hot_sparse` keeps them a table.
+    columns, :func:`dictionary` and :func:`encode` keep them a table.
     """
     vocab: dict[str, list[str]] = {c: [] for c in cols}
     for r in vocabulary(df, cols).collect():
@@ -45,6 +46,42 @@ def one_hot_sparse(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame
     return pairs.select(row_id, "p.*").where(F.col("value").isNotNull())
 
 
+def dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, index): the vocabulary with the position that the value's column
+    has in :func:`one_hot`, from 0, columns in the given order and values sorted.
+
+    Positions are ranks by ranges of the sorted vocabulary, so a vocabulary of any size
+    is neither collected nor sorted in one task.
+    """
+    from riskloom.operators.windows import global_rank
+    place = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+    words = vocabulary(df, cols).withColumn("_c", place[F.col("column")])
+    ranked = global_rank(words, [F.asc("_c"), F.asc("value")], "_rank")
+    return ranked.select("column", "value", (F.col("_rank") - 1).alias("index"))
+
+
+def encode(df: DataFrame, cols: Sequence[str], row_id: str, words: DataFrame) -> DataFrame:
+    """(row_id, indices): per row the sorted positions of its values in ``words``, a
+    :func:`dictionary`; an unseen or missing value has none.  ``row_id`` is unique.
+
+    Only (row_id, column, value) moves.  The dictionary holds a value once, so a value
+    of a third of all rows is split by adaptive execution as any skewed join.
+    """
+    hits = one_hot_sparse(df, cols, row_id).join(words, ["column", "value"]).select(F.col(row_id).alias("_r"), "index")
+    lists = hits.groupBy("_r").agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    rows = df.select(row_id).join(lists, F.col(row_id) == F.col("_r"), "left")
+    return rows.select(row_id, F.coalesce("indices", F.array().cast("array<int>")).alias("indices"))
+
+
+def sparse_vectors(encoded: DataFrame, size: int, out: str = "features") -> DataFrame:
+    """The positions as MLlib vectors of ``size`` components that are 1 there."""
+    @F.udf(VectorUDT())
+    def vector(at):
+        return Vectors.sparse(size, at, [1.0] * len(at))
+
+    return encoded.withColumn(out, vector("indices")).drop("indices")
+
+
 def one_hot_columns(vocab: Mapping[str, Sequence[str]], dtype: str = "int") -> list[Column]:
     """SC-2: indicator per saved value, named col_value; unseen/NULL -> all zeros."""
     return [F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)).cast(dtype).alias(f"{c}_{v}")

@@ -45,6 +45,31 @@ def q_one_hot(spark, d):
     return FE.one_hot(li, ["l_returnflag", "l_linestatus"], keep=["l_orderkey", "l_linenumber"])
 
 
+_WIDE_SQL = """
+WITH v AS (SELECT DISTINCT 0 AS c, 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS value FROM orders WHERE o_custkey IS NOT NULL
+           UNION SELECT DISTINCT 1, 'o_orderpriority', o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL),
+w AS (SELECT "column", value, CAST(row_number() OVER (ORDER BY c, value) - 1 AS INTEGER) AS index FROM v)
+"""
+
+
+@register("sc1_dictionary", _WIDE_SQL + 'SELECT "column", value, index FROM w')
+def q_dictionary(spark, d):
+    """A vocabulary of as many values as customers, numbered and never collected."""
+    return FE.dictionary(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"])
+
+
+@register("sc2_encode_wide", _WIDE_SQL + """
+SELECT o_orderkey, coalesce(a.index, -1) AS first, coalesce(b.index, -1) AS second FROM orders
+LEFT JOIN w a ON a."column" = 'o_custkey' AND a.value = CAST(o_custkey AS VARCHAR)
+LEFT JOIN w b ON b."column" = 'o_orderpriority' AND b.value = o_orderpriority""")
+def q_encode_wide(spark, d):
+    """Every order's positions in that vocabulary."""
+    cols, o = ["o_custkey", "o_orderpriority"], table(spark, d, "orders")
+    rows = FE.encode(o, cols, "o_orderkey", FE.dictionary(o, cols))
+    at = [F.coalesce(F.get("indices", F.lit(i)), F.lit(-1)) for i in range(2)]
+    return rows.select("o_orderkey", at[0].alias("first"), at[1].alias("second"))
+
+
 _PRIORITY_VOCAB = {"o_orderpriority": ["1-URGENT", "2-HIGH", "9-UNSEEN"]}
 
 

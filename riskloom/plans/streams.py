@@ -13,6 +13,7 @@ from riskloom.plans.fixture import EVENT_CLIP, EVENT_RANGES, table
 from riskloom.plans.surface import _ranges_sql
 from riskloom.sources.tables import roundtrip_path
 from riskloom.streaming import monitor as M
+from riskloom.streaming import snapshots as SN
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -129,6 +130,15 @@ def q_current_evicting(spark, d):
     return snap.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "value")
 
 
+@register("st3_history_snapshots", SQL["st3_history"])
+def q_history_snapshots(spark, d):
+    """The same into a table of snapshots: two batches beside the last one at most."""
+    out, ck = _paths(spark, "history-snapshots")
+    h = M.history(_stream(spark, d), "user_id", "ts", "event_id", "value", n=60)
+    M.run_to_completion(SN.snapshot_sink(h, out, ck, ["user_id"], every=2))
+    return M.explode_history(SN.read_snapshot(spark, out, ["user_id"]), "user_id")
+
+
 @register("st5_dead_letter", """
 SELECT event_id, user_id, 'unknown key' AS error FROM events e
 WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_mktsegment <> 'MACHINERY')""")

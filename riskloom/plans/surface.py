@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom import spec
 from riskloom.functions import scalar as S
 from riskloom.operators import aggregates as AG
+from riskloom.operators import heavy as HG
 from riskloom.operators import ordering as SL
 from riskloom.operators import relational as R
 from riskloom.operators import sketches as SK
@@ -120,6 +121,18 @@ def q_breakdown(spark, d):
     return AG.breakdown(_lines_with_brand(spark, d), "p_brand", "score", "label", n=15)
 
 
+@register("ag6_breakdown_bounded", with_admissions("""
+, lines AS (SELECT l.l_partkey, a.score, a.label FROM lineitem l JOIN admissions a ON l.l_orderkey = a.admission_id)
+SELECT l_partkey, count(*) AS count, round(avg(score), 4) AS avg_score, round(avg(label), 4) AS label_rate
+FROM lines WHERE l_partkey IS NOT NULL GROUP BY l_partkey ORDER BY count DESC, l_partkey LIMIT 15"""))
+def q_breakdown_bounded(spark, d):
+    """The commonest parts among very many: bounds first, then only the candidates.
+    The candidates are found on the lines alone, before the join, as each has one order."""
+    adm = admissions(spark, d).select("admission_id", "score", "label")
+    few = HG.candidates(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_partkey", 15)
+    return AG.breakdown(few.join(adm, few.l_orderkey == adm.admission_id), "l_partkey", "score", "label", n=15)
+
+
 def _hist_sql(col: str) -> str:
     edges = AG.histogram_edges()
     inner = ", ".join(repr(e) for e in edges[1:-1])
