@@ -92,16 +92,34 @@ def _kept_text(text: str | None, drop, min_chars: int) -> str | None:
 
 
 class LineRuns:
-    """The levelled runs: bucketed tables of the line hashes seen so far."""
+    """The levelled runs: bucketed tables of the line hashes seen so far.
+
+    A context: inside it the session lets a scan of one file a bucket count as sorted;
+    at its end, also by an error, the runs are removed.
+    """
+
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark, scratch: C.Scratch, fanout: int = FANOUT):
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # (level, table), oldest first
 
+    def __enter__(self) -> LineRuns:
+        self.before = self.spark.conf.get(self.ORDERED, "false")
+        self.spark.conf.set(self.ORDERED, "true")
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.conf.set(self.ORDERED, self.before)
+        for _, name in self.runs:
+            self._forget(name)
+        self.runs = []
+
     def _store(self, keys: DataFrame) -> str:
+        """Write ``keys``, which come in one partition a bucket, as a run."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        (keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", self.scratch.path(name)).saveAsTable(name))
         return name
 
@@ -114,26 +132,26 @@ class LineRuns:
         known = F.lit(False)
         for i, (_, name) in enumerate(self.runs):
             run = self.spark.table(name).withColumn(f"_in{i}", F.lit(True))
-            keys = keys.join(run, ["h1", "h2"], "left")
+            keys = keys.join(run.hint("merge"), ["h1", "h2"], "left")
             known = known | F.coalesce(F.col(f"_in{i}"), F.lit(False))
         return keys.withColumn("known", known).drop(*[f"_in{i}" for i in range(len(self.runs))])
 
+    def merged(self, older: str, newer: str) -> DataFrame:
+        """Two runs as one: a merge join of their buckets.  A hash is in one run only,
+        so the join pairs nothing and gives the rows of both, one task a bucket."""
+        return self.spark.table(older).hint("merge").join(self.spark.table(newer), ["h1", "h2"], "full")
+
     def add(self, keys: DataFrame) -> None:
-        """Add a batch's unseen hashes as a run; merge full levels."""
-        self.runs.append((0, self._store(keys)))
+        """Add a batch's unseen hashes as a run; merge full levels, two runs at a time."""
+        self.runs.append((0, self._store(keys.repartition(self.buckets, "h1", "h2"))))
         while len(self.runs) >= self.fanout and len({lv for lv, _ in self.runs[-self.fanout:]}) == 1:
-            full = self.runs[-self.fanout:]
-            merged = self.spark.table(full[0][1])
-            for _, name in full[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            self.runs[-self.fanout:] = [(full[0][0] + 1, self._store(merged))]
-            for _, name in full:
-                self._forget(name)
-
-    def close(self) -> None:
-        for _, name in self.runs:
-            self._forget(name)
-        self.runs = []
+            level = self.runs[-1][0]
+            for _ in range(self.fanout - 1):
+                (_, older), (_, newer) = self.runs[-2:]
+                self.runs[-2:] = [(level, self._store(self.merged(older, newer)))]
+                self._forget(older)
+                self._forget(newer)
+            self.runs[-1] = (level + 1, self.runs[-1][1])
 
 
 def dropped_lines(docs: DataFrame, scratch: C.Scratch, n_batches: int = N_BATCHES, min_chars: int = MIN_CHARS,
@@ -149,18 +167,18 @@ def dropped_lines(docs: DataFrame, scratch: C.Scratch, n_batches: int = N_BATCHE
     lines.write.partitionBy("batch").parquet(scratch.path("lines"))
     schema = C.struct_of("_d long, h1 long, h2 long, batch int")
     lines = spark.read.schema(schema).parquet(scratch.path("lines"))
-    runs, found = LineRuns(spark, scratch, fanout), []
-    for b in range(len(cuts) + 1):
-        mine = lines.where(F.col("batch") == b).select("_d", "h1", "h2")
-        keys = mine.groupBy("h1", "h2").agg(F.min("_d").alias("first"), F.max("_d").alias("last"))
-        keys = scratch.cut(runs.look_up(keys), f"keys{b}")
-        if b < len(cuts):
-            runs.add(keys.where(~F.col("known")).select("h1", "h2"))
-        many = keys.where("known OR last > first")
-        lost = mine.join(many, ["h1", "h2"]).where("known OR _d > first").select("_d", "h1")
-        found.append(scratch.cut(lost, f"lost{b}"))
-        scratch.drop(f"keys{b}")
-    runs.close()
+    found = []
+    with LineRuns(spark, scratch, fanout) as runs:
+        for b in range(len(cuts) + 1):
+            mine = lines.where(F.col("batch") == b).select("_d", "h1", "h2")
+            keys = mine.groupBy("h1", "h2").agg(F.min("_d").alias("first"), F.max("_d").alias("last"))
+            keys = scratch.cut(runs.look_up(keys), f"keys{b}")
+            if b < len(cuts):
+                runs.add(keys.where(~F.col("known")).select("h1", "h2"))
+            many = keys.where("known OR last > first")
+            lost = mine.join(many, ["h1", "h2"]).where("known OR _d > first").select("_d", "h1")
+            found.append(scratch.cut(lost, f"lost{b}"))
+            scratch.drop(f"keys{b}")
     scratch.drop("lines")
     lost = found[0]
     for x in found[1:]:
