@@ -27,9 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskloom.llm import common as C
+from riskloom.operators.windows import global_rank
 
 SEED = 90_210
 BLOCK_WORDS = 256
@@ -49,13 +49,15 @@ def word_count(text) -> F.Column:
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(_s, source_size, weight, target) per source from (_s, source_size).
 
-    ``_s`` sorts by code point with the null source last.  Sources are one row
-    each; the share of the open sources is settled by rounds that each read two
-    sums, until no further source is over its cap.
+    ``_s`` sorts by code point with the null source last.  ``sizes`` is read by every
+    round, so it should be a written table of one row a source; sources are numbered by
+    ranges, as they may be many.  The share of the open sources is settled by rounds
+    that each read two sums, until no further source is over its cap.
     """
-    order = Window.orderBy((F.col("_s") == "0").cast("int"), "_s")
+    last = F.col("_s") == "0"
+    sizes = global_rank(sizes.withColumn("_last", last), [F.asc("_last"), F.asc("_s")], "_n").drop("_last")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
-                     (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
+                     (F.pmod(F.col("_n") - 1, F.lit(len(weights))) + 1).cast("int"))
     t = sizes.withColumn("weight", w).withColumn("cap", F.col("source_size").cast("double") * max_repeat)
     total = t.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
@@ -122,7 +124,8 @@ def _slots(batches):
 class Mix:
     """What :func:`mix` returns.
 
-    documents: all columns of the input slim rows, source_size, target, taken.
+    documents: all columns of the input slim rows, source_size, target, taken and
+    shares, an array of (shard, words) by shard: the words that each output shard takes.
     slots: (_s, shard, j, block, words): the blocks of every output shard.
     pieces: (_id, block, lo, hi, taken): the words [lo, hi) of a document
     that lie in a block, and how often the mix takes its first words.
@@ -142,7 +145,7 @@ def mix(sized: DataFrame, scratch: C.Scratch, weights=WEIGHTS, max_repeat: int =
     """
     sized = scratch.cut(sized.withColumn("_h", F.xxhash64(F.lit(seed), "_k")), "sized")
     n = sized.count()
-    sources = sized.groupBy("_s").agg(F.sum("size").alias("source_size"))
+    sources = scratch.cut(sized.groupBy("_s").agg(F.sum("size").alias("source_size")), "sums")
     sources = source_targets(sources, weights, max_repeat)
     # Whole words: rounded down to what the source can give.
     sources = (sources.withColumn("words", F.least(F.round("target"), F.col("source_size") * max_repeat).cast("long"))
@@ -182,14 +185,21 @@ def mix(sized: DataFrame, scratch: C.Scratch, weights=WEIGHTS, max_repeat: int =
         F.greatest(F.lit(0), F.least(F.col("length"), F.col("rest") - before)))
     slots = scratch.cut(slots.select("_s", "shard", "j", "block", words.alias("words")).where("words > 0"), "slots")
 
-    # How often each block is taken whole, and the one cut short, if any.
-    times = slots.groupBy("_s", "block").agg(F.collect_list("words").alias("cuts"))
-    cover = F.expr("aggregate(cuts, 0L, (s, w) -> s + greatest(0L, least(w, in_block + hi - lo) - in_block))")
-    taken = pieces.join(times, ["_s", "block"]).withColumn("taken", cover)
-    taken = scratch.cut(taken.select("_id", "block", "in_block", "lo", "hi", "cuts", "taken").where("taken > 0"), "taken")
-    per_doc = taken.groupBy("_id").agg(F.sum("taken").alias("taken"))
+    # The slots of each block, at most ceil(max_repeat) + 1: how many of its words each
+    # takes (all, but for one cut short), and for which output shard.
+    times = slots.groupBy("_s", "block").agg(F.array_sort(F.collect_list(F.struct("words", "shard"))).alias("slots"))
+    part = F.expr("transform(slots, s -> named_struct('shard', s.shard, 'words', greatest(0L, least(s.words, in_block + hi - lo) - in_block)))")
+    taken = pieces.join(times, ["_s", "block"]).withColumn("parts", part)
+    taken = (taken.withColumn("cuts", F.col("slots.words"))
+             .withColumn("taken", F.expr("aggregate(parts.words, 0L, (s, w) -> s + w)")).where("taken > 0"))
+    taken = scratch.cut(taken.select("_id", "block", "in_block", "lo", "hi", "cuts", "parts", "taken"), "taken")
+    per_shard = (taken.select("_id", F.explode("parts").alias("p")).where("p.words > 0")
+                 .groupBy("_id", "p.shard").agg(F.sum("p.words").alias("words")))
+    per_doc = per_shard.groupBy("_id").agg(F.sum("words").alias("taken"),
+                                           F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shares"))
     docs = (sized.drop("_h", "_k").join(sources.select("_s", "source_size", "target"), "_s").join(per_doc, "_id", "left")
-            .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")))
+            .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+            .withColumn("shares", F.coalesce("shares", F.expr("cast(array() as array<struct<shard:int,words:bigint>>)"))))
     scratch.drop("pieces")
     return Mix(docs, slots, taken)
 
@@ -263,7 +273,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """``shard_words`` says for which output shards the words are taken, as
+    shard:words by shard, comma-joined."""
     docs = C.table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", F.monotonically_increasing_id().alias("_id"), F.xxhash64("doc_id", "text").alias("_k"),
                        C.group_key("source").alias("_s"), word_count(F.col("text")).alias("size"))
-    return mix(slim, C.Scratch(spark, "mixing")).documents.select("doc_id", "size", "source_size", "target", "taken")
+    shares = F.array_join(F.transform("shares", lambda s: F.concat_ws(":", s["shard"], s["words"])), ",")
+    return mix(slim, C.Scratch(spark, "mixing")).documents.select("doc_id", "size", "source_size", "target", "taken", shares.alias("shard_words"))
