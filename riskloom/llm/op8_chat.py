@@ -3,11 +3,14 @@
 A message's text may hold blocks ``<tool_call>{...}</tool_call>`` with a JSON
 object of id, name, arguments and, if the call waits for others, after (their
 ids; a string argument "$id" or "$id.path" counts as well), and blocks
-``<tool_result>{...}</tool_result>`` with tool_call_id and content.  Calls and
+``<tool_result>{...}</tool_result>`` with tool_call_id and content.  A system message
+declares tools in blocks ``<tool_schema>{...}</tool_schema>`` with name and
+parameters, a JSON schema.  Calls and
 results are hash-joined on (conversation, identifier).  Calls are ordered
 topologically: rounds of joins raise a call one level above what it waits for,
 until nothing changes; what is left after that waits in a circle.  Arguments are
-checked against the tool's JSON schema.  Each message becomes one line of
+checked against the JSON schema that is joined by (conversation, tool name), else
+against the one that the caller gives for the tool.  Each message becomes one line of
 canonical JSON (sorted keys, no blanks, no escapes of printable characters) with
 its calls in that order, each with its result.
 
@@ -20,7 +23,10 @@ JSON; a block that is no JSON object stays in the content, and NaN, infinities a
 numbers beyond all doubles are no JSON; a lone surrogate becomes a question mark;
 integers of any length are compared as integers; a result without its
 call, and a call without result, are marked as such; ``after`` an unknown call is
-no wait; a null conv_id is a conversation of its own; repeated rows are messages
+no wait; schema blocks stay in the content, those of other roles, without a name or
+without an object of parameters declare nothing, and of several for one tool the first
+by turn counts, for the whole conversation; a schema that is none, such as a bound that
+is no number, gives the problem ``bad schema``; a null conv_id is a conversation of its own; repeated rows are messages
 of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -38,10 +44,11 @@ from pyspark.sql.window import Window
 from riskloom.llm import common as C
 
 _BLOCK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
+_SCHEMA = re.compile(r"<tool_schema>(.*?)</tool_schema>", re.S)
 _REFERENCE = re.compile(r"^\$([^.$\s]+)")
 
 EVENTS = ("_m long, _c string, turn long, seq int, kind string, id string, name string, arguments string, "
-          "waits array<string>, content string, problem string")
+          "waits array<string>, content string")
 
 
 def clean(text: str) -> str:
@@ -145,14 +152,36 @@ def parse_blocks(text: str | None) -> tuple[str, list[tuple[str, dict]]]:
     return _BLOCK.sub(take, text), blocks
 
 
+def parse_schemas(text: str | None) -> list[tuple[str, dict]]:
+    """The tools (name, schema of the arguments) that a system message declares."""
+    found = []
+    for block in _SCHEMA.findall(text or ""):
+        try:
+            obj = parse(block)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(obj, dict) and isinstance(obj.get("parameters"), dict) and obj.get("name") is not None:
+            found.append((_text(obj["name"]), obj["parameters"]))
+    return found
+
+
+def argument_problem(arguments: str, schema) -> str | None:
+    """What is wrong with a call's arguments; a schema may be anything that JSON can say."""
+    try:
+        bad = schema_problem(json.loads(arguments), schema)
+    except (AttributeError, TypeError, ValueError, RecursionError):
+        return "bad schema"
+    return None if bad is None else clean(bad)
+
+
 def _text(v) -> str | None:
     return None if v is None else clean(v) if isinstance(v, str) else canonical(v)
 
 
-def _events(batches, schemas: Mapping[str, dict]):
+def _events(batches):
     for pdf in batches:
         rows = []
-        for m, c, turn, text in zip(pdf["_m"], pdf["_c"], pdf["turn"], pdf["text"], strict=True):
+        for m, c, turn, role, text in zip(pdf["_m"], pdf["_c"], pdf["turn"], pdf["role"], pdf["text"], strict=True):
             turn = None if pd.isna(turn) else int(turn)
             for seq, (kind, obj) in enumerate(parse_blocks(text)[1]):
                 if kind == "call":
@@ -160,12 +189,13 @@ def _events(batches, schemas: Mapping[str, dict]):
                     args = {} if args is None else args
                     after = obj.get("after")
                     waits = {_text(x) for x in after if x is not None} if isinstance(after, list) else set()
-                    problem = schema_problem(args, schemas[name]) if name in schemas else "no schema"
                     rows.append((m, c, turn, seq, kind, _text(obj.get("id")), name, canonical(args),
-                                 sorted(waits | {clean(x) for x in _references(args)}), None, None if problem is None else clean(problem)))
+                                 sorted(waits | {clean(x) for x in _references(args)}), None))
                 else:
                     rows.append((m, c, turn, seq, kind, _text(obj.get("tool_call_id")), None, None, [],
-                                 canonical(obj.get("content")), None))
+                                 canonical(obj.get("content"))))
+            for seq, (name, schema) in enumerate(parse_schemas(text) if role == "system" else ()):
+                rows.append((m, c, turn, seq, "schema", name, name, None, [], canonical(schema)))
         names = [x.split()[0] for x in EVENTS.split(", ")]
         out = pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(names)})
         yield out.astype({"_m": "int64", "seq": "int32"})
@@ -195,6 +225,24 @@ def _levels(calls: DataFrame, scratch: C.Scratch) -> DataFrame:
     return level
 
 
+def _checked(calls: DataFrame, declared: DataFrame, given: Mapping[str, dict]) -> DataFrame:
+    """Calls with ``problem``: their arguments against the schema that their conversation
+    declares for the tool, else against the given one; null if they fit."""
+    @F.pandas_udf("string")
+    def problem(names: pd.Series, arguments: pd.Series, schemas: pd.Series) -> pd.Series:
+        read: dict = {}
+        out = []
+        for name, args, own in zip(names, arguments, schemas, strict=True):
+            if own is not None and own not in read:
+                read[own] = json.loads(own)
+            schema = given.get(name) if own is None else read[own]
+            out.append("no schema" if schema is None else argument_problem(args, schema))
+        return pd.Series(out, dtype=object)
+
+    return (calls.join(declared, ["_c", "name"], "left")
+            .withColumn("problem", problem("name", "arguments", "schema")).drop("schema"))
+
+
 def _lines(batches):
     for pdf in batches:
         out = []
@@ -226,19 +274,23 @@ def format_chats(messages: DataFrame, schemas: Mapping[str, dict] | None = None)
     keyed = scratch.cut(messages.select(F.monotonically_increasing_id().alias("_m"), C.group_key("conv_id").alias("_c"),
                                         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                         "role", "text"), "keyed")
-    marked = keyed.where(F.contains("text", F.lit("<tool_"))).select("_m", "_c", C.as_text("turn"), "text")
-    events = scratch.cut(marked.mapInPandas(lambda it: _events(it, schemas), EVENTS), "events")
+    marked = keyed.where(F.contains("text", F.lit("<tool_"))).select("_m", "_c", C.as_text("turn"), "role", "text")
+    events = scratch.cut(marked.mapInPandas(_events, EVENTS), "events")
     # The first of an identifier counts; identifiers are few in a conversation's key.
     w = Window.partitionBy("_c", "kind", "id").orderBy(F.asc_nulls_last("turn"), "_m", "seq")
     events = scratch.cut(events.withColumn("nth", F.row_number().over(w)), "numbered")
     calls = events.where("kind = 'call' AND id IS NOT NULL AND nth = 1")
     results = events.where("kind = 'result' AND id IS NOT NULL AND nth = 1").select("_c", "id", F.col("content").alias("found"))
     level = _levels(calls.select("_c", "id", "waits"), scratch)
-    linked = (events.where("kind = 'call'").join(results, ["_c", "id"], "left").join(level, ["_c", "id"], "left")
+    declared = events.where("kind = 'schema' AND nth = 1").select("_c", "name", F.col("content").alias("schema"))
+    checked = _checked(events.where("kind = 'call'"), declared, schemas)
+    linked = (checked.join(results.hint("shuffle_hash"), ["_c", "id"], "left").join(level, ["_c", "id"], "left")
               .withColumn("status", F.when(F.col("id").isNull(), "no id").when(F.col("nth") > 1, "repeated")
                           .when(F.col("level").isNull(), "circular").when(F.col("found").isNull(), "no result").otherwise("linked"))
               .withColumn("found", F.when(F.col("nth") == 1, F.col("found"))))
-    back = (events.where("kind = 'result'").join(calls.select("_c", "id", F.lit(True).alias("called")), ["_c", "id"], "left")
+    called = calls.select("_c", "id", F.lit(True).alias("called"))
+    back = (events.where("kind = 'result'").join(called.hint("shuffle_hash"), ["_c", "id"], "left")
+            .withColumn("problem", F.lit(None).cast("string"))
             .withColumn("status", F.when(F.col("called").isNull(), "orphan").when(F.col("nth") > 1, "repeated").otherwise("linked"))
             .withColumn("found", F.lit(None).cast("string")).withColumn("level", F.lit(None).cast("int")))
     cols = ["kind", "seq", "id", "name", "arguments", "problem", "status", "found", "level"]
