@@ -32,20 +32,31 @@ EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
                  "props string")
 
 
-N_FILES = 4
+N_SLICES = 4
+#: Rows of a file of the topic, which one task writes.
+FILE_ROWS = 250_000
 _TOPIC: dict = {}
 
 
-def _topic(spark, d) -> str:
-    """The events as a topic of several files, written one after the other in
-    event-time order, events without a time in the last, so that a stream over them
-    runs in several micro-batches."""
+def _topic(spark, d) -> tuple[str, int]:
+    """The events as a topic in a few slices, written one after the other in event-time
+    order, events without a time in the last.  Every slice has the same number of files,
+    which is returned: a stream that takes so many at a time runs in a micro-batch per
+    slice, however large the table is."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _TOPIC:
         path = roundtrip_path(spark, "topic")
         sec = F.unix_seconds(F.col("ts").cast("timestamp"))
         ev = table(spark, d, "events")
-        cuts = ev.select(sec.cast("double").alias("s")).approxQuantile("s", [k / N_FILES for k in range(1, N_FILES)], 0.01)
+        cuts = ev.select(sec.cast("double").alias("s")).approxQuantile("s", [k / N_SLICES for k in range(1, N_SLICES)], 0.01)
+        rows = ev.agg(*[F.count_if(sec < F.lit(c)).alias(f"c{i}") for i, c in enumerate(cuts)], F.count(F.lit(1)).alias("n")).first()
+        files = max(1, -(-rows["n"] // (N_SLICES * FILE_ROWS)))
+        if files > 1:  # a slice needs a row for every file, else it joins the next one
+            kept, below = [], 0
+            for i, c in enumerate(cuts):
+                if rows[f"c{i}"] - below >= files and rows["n"] - rows[f"c{i}"] >= files:
+                    kept, below = [*kept, c], rows[f"c{i}"]
+            cuts = kept
         for lo, hi in zip([None, *cuts], [*cuts, None]):
             part = ev
             if lo is not None:
@@ -54,13 +65,14 @@ def _topic(spark, d) -> str:
                 part = part.where(sec < F.lit(hi))
             elif lo is not None:
                 part = ev.where((sec >= F.lit(lo)) | sec.isNull())
-            part.write.mode("append").parquet(path)
-        _TOPIC[key] = path
+            part.repartition(files).write.mode("append").parquet(path)
+        _TOPIC[key] = path, files
     return _TOPIC[key]
 
 
 def _stream(spark, d):
-    return M.vitals_source(spark, _topic(spark, d), EVENTS_SCHEMA, max_files_per_trigger=1)
+    path, files = _topic(spark, d)
+    return M.vitals_source(spark, path, EVENTS_SCHEMA, max_files_per_trigger=files)
 
 
 def _paths(spark, name):
