@@ -25,7 +25,7 @@ from riskloom.operators.ordering import kfold
 from riskloom.plans.fixture import admissions, with_admissions
 from riskloom.plans.surface import _auc_sql
 from riskloom.plans.models import ADM_SPEC, _once, admission_features, admission_wide
-from riskloom.session import scratch_path
+from riskloom.session import cut_lineage, scratch_path
 from riskloom.sources import tables as T
 from riskloom.streaming import monitor as M
 
@@ -241,11 +241,21 @@ def q_stream(spark, d):
 
 
 # ---- metrics of the fixed trees ------------------------------------------------
+def scored(spark, d):
+    """Label, both models' probabilities and the blend of every row.  Written once: the
+    metrics read it many times, and each reading would join the features anew."""
+    def make():
+        ma, mb = models(spark, d)
+        both = G.predict_proba(mb, G.predict_proba(ma, feats(spark, d), "gbt_a"), "gbt_b")
+        return cut_lineage(G.ensemble(ma, mb, both).select("admission_id", "label", "gbt_a", "gbt_b", "_blend"))
+
+    return _once(spark, d, "fixed-scores", make)
+
+
 def in_folds(spark, d):
-    """Both models' probabilities with the folds that validation deals."""
-    ma, mb = models(spark, d)
-    both = G.predict_proba(mb, G.predict_proba(ma, feats(spark, d), "gbt_a"), "gbt_b")
-    return kfold(both.select("admission_id", "label", "gbt_a", "gbt_b"), "label", "admission_id")
+    """Both models' probabilities with the folds that validation deals, written once."""
+    return _once(spark, d, "fixed-folds", lambda: cut_lineage(
+        kfold(scored(spark, d).select("admission_id", "label", "gbt_a", "gbt_b"), "label", "admission_id").select("label", "gbt_a", "gbt_b", "fold")))
 
 
 def _fold_auc(model: str, column: str) -> str:
@@ -292,8 +302,8 @@ UNION ALL SELECT 'metric', 'positive_rate', round(avg(label), 6) FROM f
 UNION ALL SELECT 'param', 'n_features', 24"""))
 def q_run_metrics(spark, d):
     """The run's parameters and metrics through the sink and back."""
-    ev = G.train_eval(G.ensemble(*models(spark, d), feats(spark, d)), "label").first()
-    balance = AG.class_balance(feats(spark, d), "label").first()
+    ev = G.train_eval(scored(spark, d), "label").first()
+    balance = AG.class_balance(scored(spark, d), "label").first()
     cv = AG.cv_summary(G.cross_validate(in_folds(spark, d), "label", ["gbt_a", "gbt_b"]), "model", "auc").collect()  # a row a model
     metrics = {f"{r['model']}_cv_auc_{k}": r[k] for r in cv for k in ("mean", "std")}
     metrics |= {"ensemble_train_auc": ev["auc"], "ensemble_train_ap": ev["average_precision"], "n_rows": balance["n"],
